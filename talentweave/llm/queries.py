@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from talentweave.llm.canonical import map_values, posted_values
 from talentweave.llm.cooccurrence import pair_statistics
 from talentweave.llm.entity_match import matches, one_to_one
+from talentweave.llm.leakage import leaks
 from talentweave.llm.name_variants import employers, variant_pairs
 from talentweave.llm.near_duplicates import classes_with_links, similar_pairs
+from talentweave.llm.packing import containers, unused_space
+from talentweave.llm.quality import NAMES, text_classes, text_statistics
 from talentweave.session import table
 
 # What TESTDATA.md fixes for its cases.
@@ -80,9 +83,39 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.where(F.col("n_both") * F.col("n_rows") >= PAIR_LIFT * F.col("n_a") * F.col("n_b")).select(F.col("item_a").alias("skill_a"), F.col("item_b").alias("skill_b"))
 
 
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return containers(table(spark, folder, "documents"), table(spark, folder, "container_spec"))
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers of each size are."""
+    return unused_space(p8_containers(spark, folder), table(spark, folder, "container_spec"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(table(spark, folder, "documents"), "doc_id", table(spark, folder, "eval_item"), "item_id").select("item_id", "doc_id")
+
+
+def p9_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Test items that leaked, in how many documents and with what share at most."""
+    found = leaks(table(spark, folder, "documents"), "doc_id", table(spark, folder, "eval_item"), "item_id")
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.round(F.max("share"), 4).alias("greatest_share"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return text_classes(table(spark, folder, "documents"), table(spark, folder, "common_word")).where("text_class <> 'prose'").select("doc_id", "text_class")
+
+
+def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics of every document."""
+    found = text_statistics(table(spark, folder, "documents"), table(spark, folder, "common_word"))
+    return found.select("doc_id", *[F.round(n, 6).alias(n) for n in NAMES])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_employers": p2_employers, "p4_found": p4_found, "p4_classes": p4_classes,
     "p5_found": p5_found, "p5_assigned": p5_assigned, "p6_found": p6_found, "p6_pairs": p6_pairs,
+    "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_statistics": p10_statistics,
 }
 
 _PAIRS = """
