@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -10,6 +11,23 @@ import numpy as np
 from talentweave.functions.hanzi import FOLD
 
 
+#: Characters that are worked on at a time.
+AT_ONCE = 1 << 19
+
+
+def pieces(texts: list[str], most: int = AT_ONCE) -> Iterator[tuple[int, list[str]]]:
+    """(number of the first text, texts) in pieces of about ``most`` characters; a longer text is
+    a piece of its own."""
+    start = size = 0
+    for k, text in enumerate(texts):
+        if size and size + len(text) > most:
+            yield start, texts[start:k]
+            start, size = k, 0
+        size += len(text)
+    if start < len(texts):
+        yield start, texts[start:]
+
+
 @cache
 def folding() -> np.ndarray:
     """For each character below U+10000 its folded form: half width, lower case, simplified; 0 for

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentweave.llm.charstream import folded, shingles
+from talentweave.llm.charstream import folded, pieces, shingles
 
 #: Characters of an index term and of a term in verification.
 TERM, FINE = 5, 3
@@ -105,25 +105,25 @@ class Index:
         nothing = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if not len(passage):
             return nothing
-        names, number = np.unique(passage, return_inverse=True)
-        bound = np.bincount(number, self.top[term])
-        alive = bound[number] >= self.least.min()
+        fresh = np.concatenate([[True], passage[1:] != passage[:-1]])
+        names, number = passage[fresh], fresh.cumsum() - 1
+        alive = (np.bincount(number, self.top[term]) >= self.least.min())[number]
         number, term = number[alive], term[alive]
         if not len(term):
             return nothing
         sizes = self.block_first[term + 1] - self.block_first[term]
         spread = np.repeat(self.block_first[term], sizes) + np.arange(sizes.sum()) - np.repeat(sizes.cumsum() - sizes, sizes)
         blocks = len(self.block_least)
-        key, back = np.unique(np.repeat(number, sizes) * blocks + self.block_of[spread], return_inverse=True)
-        open_blocks = np.bincount(back, self.block_max[spread]) >= self.block_least[key % blocks]
-        live = key[open_blocks]
+        key, bound = _summed(np.repeat(number, sizes) * blocks + self.block_of[spread], self.block_max[spread], len(names) * blocks)
+        live = key[bound >= self.block_least[key % blocks]]
+        if not len(live):
+            return nothing
         sizes = self.df[term]
         spread = np.repeat(self.first[term], sizes) + np.arange(sizes.sum()) - np.repeat(sizes.cumsum() - sizes, sizes)
         item, who = self.owner[spread], np.repeat(number, sizes)
-        at = np.searchsorted(live, who * blocks + item // BLOCK)
-        good = (at < len(live)) & (live[np.minimum(at, max(0, len(live) - 1))] == who * blocks + item // BLOCK) if len(live) else np.zeros(len(item), bool)
-        code, back = np.unique(who[good] * len(self.ids) + item[good], return_inverse=True)
-        score = np.bincount(back, self.impact[spread[good]]) if len(code) else np.zeros(0)
+        own = who * blocks + item // BLOCK
+        good = live[np.minimum(np.searchsorted(live, own), len(live) - 1)] == own
+        code, score = _summed(who[good] * len(self.ids) + item[good], self.impact[spread[good]], len(names) * len(self.ids))
         number, item = code // len(self.ids), code % len(self.ids)
         enough = score >= self.least[item]
         return names[number[enough]], item[enough], score[enough]
@@ -187,6 +187,16 @@ def search(index: Index, texts: list[str]) -> list[tuple[int, int, float, float]
     return found
 
 
+def _summed(code: np.ndarray, weight: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different codes below ``most`` with the sum of their weights."""
+    if most <= 1 << 22:
+        total = np.bincount(code, weight, most)
+        found = np.flatnonzero(total)
+        return found, total[found]
+    found, back = np.unique(code, return_inverse=True)
+    return found, np.bincount(back, weight) if len(found) else np.zeros(0)
+
+
 def _different(x: np.ndarray) -> np.ndarray:
     """Sorted different values."""
     x = np.sort(x)
@@ -214,7 +224,8 @@ def leaks(docs: DataFrame, doc_id: str, items: DataFrame, item_id: str, text_col
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
-                out = [x for x in search(index, batch.column(1).to_pylist()) if x[3] >= least] if len(index.terms) else []
+                texts = batch.column(1).to_pylist() if len(index.terms) else []
+                out = [(k + x[0], *x[1:]) for k, piece in pieces(texts) for x in search(index, piece) if x[3] >= least]
                 t, i, score, share = zip(*out, strict=True) if out else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(index.ids[list(i)]), pa.array(ids[list(t)], pa.int64()), pa.array(score, pa.float64()), pa.array(share, pa.float64())], ["item_id", "doc_id", "score", "share"]
