@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentweave.llm.charstream import codes, folding
+from talentweave.llm.charstream import codes, folding, pieces
 from talentweave.llm.quality_examples import EXAMPLES, UNFAMILIAR
 from talentweave.session import cut_lineage
 
@@ -228,8 +228,8 @@ def _pair_shares(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BINS, np.int64)
         for batch in batches:
-            bins, _ = pair_bins(*codes(batch.column(0).to_pylist()))
-            total += np.bincount(bins, minlength=BINS)
+            for _, piece in pieces(batch.column(0).to_pylist()):
+                total += np.bincount(pair_bins(*codes(piece))[0], minlength=BINS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bin", "n"])
 
@@ -250,7 +250,7 @@ def text_statistics(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = statistics(batch.column(1).to_pylist(), linking, known)
+            values = np.concatenate([np.zeros((0, len(NAMES))), *(statistics(piece, linking, known) for _, piece in pieces(batch.column(1).to_pylist()))])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(values[:, k]) for k in range(len(NAMES)))], ["doc_id", *NAMES])
 
     return own.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} double" for n in NAMES))
@@ -340,7 +340,7 @@ def text_classes(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = statistics(batch.column(1).to_pylist(), linking, known)
+            values = np.concatenate([np.zeros((0, len(NAMES))), *(statistics(piece, linking, known) for _, piece in pieces(batch.column(1).to_pylist()))])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(values[:, k]) for k in range(len(NAMES)))], ["doc_id", *NAMES])
 
     stats = cut_lineage(own.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} double" for n in NAMES)))
