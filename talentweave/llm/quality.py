@@ -114,7 +114,8 @@ def statistics(texts: list[str], linking: dict[str, set[str]], known: np.ndarray
     low = np.minimum(c, 0xFFFF)
     kind = _KINDS[low]
     size = np.maximum(ends - starts, 1).astype(float)
-    ink = np.maximum(_sums(kind != 0, starts, ends), 1)
+    full = _sums(kind != 0, starts, ends)
+    ink = np.maximum(full, 1)
     han = _sums(kind == 1, starts, ends)
     latin = _sums(kind == 2, starts, ends)
     digits = _sums(kind == 3, starts, ends)
@@ -199,11 +200,11 @@ def statistics(texts: list[str], linking: dict[str, set[str]], known: np.ndarray
                 links += times if len(w) > 1 else 0
         out[k, 12], out[k, 13] = common / units, links / units
     out[:, 0], out[:, 1], out[:, 2] = ends - starts, words, letters / np.maximum(words, 1)
-    out[:, 3] = (ink - letters) / ink
+    out[:, 3] = (full - letters) / ink
     out[:, 4] = digits / ink
     out[:, 5] = ended / some
     out[:, 6] = np.minimum(1, 20 * _sums(sentence, starts, ends) / ink)
-    out[:, 7] = np.log1p(ink / some)
+    out[:, 7] = np.log1p(full / some)
     out[:, 8] = np.bincount(owner, marked, n) / some
     out[:, 9] = field
     out[:, 14] = odd / ink
