@@ -23,7 +23,8 @@ def named_within(content: Column, alias: str) -> Column:
     """Whether a lower-case text names an alias; Latin ones must not touch letters or digits."""
     key = _fold(alias)
     if re.search("[a-z0-9+#]", key):
-        return F.rlike(content, F.lit(r"(?<![a-z0-9+#])\Q" + key + r"\E(?![a-z0-9+#])"))
+        edged = F.rlike(content, F.lit(r"(?<![a-z0-9+#])\Q" + key + r"\E(?![a-z0-9+#])"))
+        return F.contains(content, F.lit(key)) & edged
     return F.contains(content, F.lit(key))
 
 
@@ -65,7 +66,8 @@ def rule_entities(text: Column) -> Column:
     """Array of (entity, word) that the word lists and patterns find in a description, each once, in
     the order of the lists. Blank and null texts have none."""
     edge = "[a-zA-Z一-鿿]"
-    skills = [F.when(F.rlike(text, F.lit(f"(?i)(?<!{edge}){p}(?!{edge})")), F.struct(F.lit("SKILL").alias("entity"), F.lit(p).alias("word"))) for p in NER_SKILLS]
+    low = F.lower(text)
+    skills = [F.when(F.contains(low, F.lit(p.replace("\\", "").lower())) & F.rlike(text, F.lit(f"(?i)(?<!{edge}){p}(?!{edge})")), F.struct(F.lit("SKILL").alias("entity"), F.lit(p).alias("word"))) for p in NER_SKILLS]
     education = [F.when(F.contains(text, F.lit(w)), F.struct(F.lit("EDUCATION").alias("entity"), F.lit(w).alias("word"))) for w in NER_EDUCATION]
     majors = [F.when(F.contains(text, F.lit(w)), F.struct(F.lit("MAJOR").alias("entity"), F.lit(w).alias("word"))) for w in NER_MAJORS]
     duties = [F.transform(F.regexp_extract_all(text, F.lit(verb + r"([^。\n；;]+)"), 1), _led_by(verb)) for verb in NER_DUTY_VERBS]
