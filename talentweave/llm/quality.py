@@ -20,9 +20,9 @@ from talentweave.llm.charstream import codes, folding, pieces
 from talentweave.llm.quality_examples import EXAMPLES, UNFAMILIAR
 from talentweave.session import cut_lineage
 
-#: Rounds of EM, weight of the examples in a component (as so many documents), least variance of
-#: a standardized statistic.
-ROUNDS, ANCHOR, LEAST_VARIANCE = 8, 30.0, 0.02
+#: Rounds of EM, weight of the examples in a component (as a share of all documents, and as so many
+#: at least), least variance of a standardized statistic.
+ROUNDS, ANCHOR_SHARE, ANCHOR, LEAST_VARIANCE = 8, 0.003, 30.0, 0.02
 #: Characters below which a text holds nothing to read.
 LEAST_TEXT = 12
 #: Bins of the corpus-wide counts of neighbouring letters.
@@ -279,10 +279,12 @@ class Mixture:
         return p / p.sum(1, keepdims=True)
 
     def update(self, n: np.ndarray, total: np.ndarray, squares: np.ndarray) -> None:
-        """M step; the examples count as ANCHOR documents of their component."""
-        weight = n + ANCHOR
-        self.mean = (total + ANCHOR * self.start) / weight[:, None]
-        second = (squares + ANCHOR * (self.start**2 + self.spread)) / weight[:, None]
+        """M step; the examples count as documents of their component, in proportion to all, so that
+        the outcome is alike at every size."""
+        anchor = max(ANCHOR, ANCHOR_SHARE * float(n.sum()))
+        weight = n + anchor
+        self.mean = (total + anchor * self.start) / weight[:, None]
+        second = (squares + anchor * (self.start**2 + self.spread)) / weight[:, None]
         self.var = np.maximum(second - self.mean**2, LEAST_VARIANCE)
         self.weight = weight / weight.sum()
 

@@ -74,6 +74,7 @@ EXAMPLES: list[tuple[str, list[str]]] = [
     ("prose", [_prose(_ENGLISH, n, "\n") for n in (3, 5, 8, 15)] + ["Notes on the vacancy\n" + _prose(_ENGLISH, n, "\n\n") for n in (3, 6)]),
     ("prose", [_prose(_SENTENCES, n).replace("。", "～") for n in (2, 5)] + [_prose(_SENTENCES, n).replace("。", " ").replace("，", " ") for n in (3, 6)]),
     ("prose", [_prose(_SENTENCES, 5, "\n") + "\n" + _list("- {}", _ITEMS, 3) + "\n" + _prose(_SENTENCES, 3) for _ in range(4)]),
+    ("prose", [a + s + b for n in (2, 4, 7) for s in ("", "\n") for a, b in ((_prose(_SENTENCES, n), _prose(_ENGLISH, n, " ")), (_prose(_ENGLISH, n, " "), _prose(_SENTENCES, n)), ("<p>" + _prose(_SENTENCES, n) + "</p>", "<p>" + _prose(_ENGLISH, n, " ") + "</p>"))]),
     ("prose", ["<p>" + _prose(_SENTENCES, n, "</p><p>") + "</p>" for n in (3, 6)] + ["<p>" + _prose(s, n) + "</p><p>" + _prose(s, n) + "</p>" for s in (_SENTENCES, _ENGLISH) for n in (2, 3, 5)]),
     ("list", [_list(m, _ITEMS, n) for m in _MARKERS for n in _SIZES]),
     ("list", [_list(m, _ENGLISH_ITEMS, n) for m in _MARKERS for n in _SIZES]),
