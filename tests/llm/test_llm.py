@@ -164,6 +164,16 @@ def test_matches(spark):
     assert matches(a.limit(0), "job_no", b, "listing_no", _reference(spark)).count() == 0
 
 
+def test_tied_block_is_settled(spark):
+    rows = [(a, 1000 + b, 0.85) for a in range(40) for b in range(40)] + [(50, 1000, 0.9), (50, 1050, 0.8), (51, 1050, 0.7), (51, 1051, 0.7)]
+    pairs = spark.createDataFrame(rows, "id_a long, id_b long, confidence double")
+    alone = one_to_one(pairs).collect()
+    a_taken, b_taken = {r["id_a"] for r in alone}, {r["id_b"] for r in alone}
+    assert len(a_taken) == len(b_taken) == len(alone) == 41
+    assert (50, 1000) in {(r["id_a"], r["id_b"]) for r in alone} and all(a in a_taken or b in b_taken for a, b, _ in rows)
+    assert one_to_one(pairs.limit(0)).count() == 0
+
+
 # --- 6: items together ------------------------------------------------------------------------
 
 
