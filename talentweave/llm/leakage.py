@@ -162,10 +162,10 @@ def search(index: Index, texts: list[str]) -> list[tuple[int, int, float, float]
     at = places[rows]
     text = np.searchsorted(ends, at, "right")
     starts = np.concatenate([[0], ends[:-1]])
-    window = (at - starts[text]) // (PASSAGE // 2)
+    window = (at - starts[text]) // (PASSAGE // 2) + 1  # passage 0 is half before the text, so that its first letters lie in two as well
     stride = int(window.max()) + 2
-    code = np.concatenate([text * stride + window, (text * stride + window - 1)[window > 0]])
-    both = np.concatenate([term, term[window > 0]])
+    code = np.concatenate([text * stride + window, text * stride + window - 1])
+    both = np.concatenate([term, term])
     pair = _different(code * len(index.terms) + both)
     passage, item, score = index.retrieve(pair // len(index.terms), pair % len(index.terms))
     code = passage // stride * len(index.ids) + item

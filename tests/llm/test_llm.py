@@ -255,6 +255,17 @@ def test_leaks(spark):
     assert search(index, []) == [] and body_of("a\nb") == "b" and body_of("a") == "a"
 
 
+def test_leak_at_the_start():
+    r = random.Random(8)
+    bodies = ["".join(_sentence(r) for _ in range(8)) for _ in range(30)]
+    index = Index(list(enumerate(bodies)))
+    noise = "".join(_sentence(r) for _ in range(20))
+    for k, body in enumerate(bodies):
+        half = "".join(re.findall("[^。]+。", body)[:4])
+        for text in (half + noise, noise + half):
+            assert [x[1] for x in search(index, [text]) if x[3] >= 0.5] == [k]
+
+
 def test_character_streams():
     texts = ["Ａb， 臺c", "", "学习"]
     chars, ends = folded(texts)
