@@ -1,9 +1,10 @@
 """Passages of test items inside a training corpus.
 
-The test items stand in a BM25 inverted index of character shingles with block maxima. Every
-passage of every document is a query: passages whose summed term maxima stay below the
-threshold are passed over, then blocks of items whose summed block maxima do, and only the rest
-is scored. What is retrieved is verified sentence by sentence against the whole document.
+The sentences of the test items stand in an inverted index of character shingles, each under its
+rarest ones. Every document is a query: a sentence may be in it only if enough of these are, on
+neighbouring lines, an item only if enough of its letters lie in such sentences. Both bounds follow from what the
+verification accepts, so that nothing is lost before it. What is retrieved is verified sentence
+by sentence against the whole document and gets a BM25 score.
 """
 
 from __future__ import annotations
@@ -20,19 +21,19 @@ from talentweave.llm.charstream import folded, pieces, shingles
 
 #: Characters of an index term and of a term in verification.
 TERM, FINE = 5, 3
-#: BM25 parameters, items of a block.
-K1, B, BLOCK = 1.2, 0.75, 16
-#: Folded characters of a passage; passages overlap by half.
-PASSAGE = 256
-#: Terms in more than this share of the items (and in more than three) are stop terms.
-STOP_SHARE = 0.04
-#: Share of an item's own score that a passage, and the sum of such passages of a document (each
-#: letter lies in two), must reach.
-PASSAGE_SHARE, DOCUMENT_SHARE = 0.07, 0.6
+#: BM25 parameters.
+K1, B = 1.2, 0.75
+#: Share of a sentence's terms that are indexed beyond those that may be missing; it decides how
+#: much is verified, not what is found.
+BEYOND = 0.2
+#: Index entries that are added up at a time.
+AT_ONCE = 1 << 20
 #: Share of a sentence's terms found in one place, and share of an item found in sentences.
 SENTENCE_SHARE, ITEM_SHARE = 0.7, 0.5
 #: Letters that a place may be off its line through inserted or left out words.
 DRIFT = 12
+#: Lines of a band; two neighbouring bands hold any run of DRIFT + 1 lines.
+BAND = 16
 #: Items in one index; more items are searched shard by shard.
 MOST_ITEMS = 20_000
 
@@ -58,37 +59,49 @@ class Item:
 
 
 class Index:
-    """BM25 postings of the items by term, with term maxima and block maxima."""
+    """Sentences of the items by their rarest fine terms, and BM25 weights of each item's terms."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.ids = np.array([i for i, _ in items], np.int64)
         self.items = [Item(body) for _, body in items]
+        self.lengths = np.array([i.length for i in self.items], np.int64)
         chars, ends = folded([body for _, body in items])
         h, places = shingles(chars, ends, TERM)
         owner = np.searchsorted(ends, places, "right")
         lengths = np.diff(np.concatenate([[0], ends])).astype(float)
         norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if len(lengths) else 1.0))
-        pair = np.rec.fromarrays([h, owner])
-        kept, tf = np.unique(pair, return_counts=True)
-        terms, first, df = np.unique(kept.f0, return_index=True, return_counts=True)
+        kept, tf = np.unique(np.rec.fromarrays([h, owner]), return_counts=True)
+        df = np.unique(kept.f0, return_counts=True)[1]
         n = len(items)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         impact = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[kept.f1])
-        use = df <= max(3, int(STOP_SHARE * n))
-        row = np.repeat(use, df)
-        self.terms, self.df = terms[use], df[use]
-        self.owner, self.impact = kept.f1[row].astype(np.int64), impact[row]
-        self.first = np.concatenate([[0], self.df.cumsum()])[:-1]
-        self.top = np.maximum.reduceat(self.impact, self.first) if len(self.terms) else np.zeros(0)
-        self.own = np.bincount(self.owner, self.impact, n)
-        self.least = PASSAGE_SHARE * self.own
-        of = np.repeat(np.arange(len(self.terms)), self.df)
-        code, back = np.unique(of * (n // BLOCK + 1) + self.owner // BLOCK, return_inverse=True)
-        self.block_of, self.block_term = code % (n // BLOCK + 1), code // (n // BLOCK + 1)
-        self.block_max = np.zeros(len(code))
-        np.maximum.at(self.block_max, back, self.impact)
-        self.block_first = np.searchsorted(self.block_term, np.arange(len(self.terms) + 1))
-        self.block_least = np.array([self.least[k : k + BLOCK].min() for k in range(0, n, BLOCK)] or [0.0])
+        order = np.argsort(kept.f1, kind="stable")
+        self.words, self.impact = kept.f0[order], impact[order]
+        self.word_first = np.searchsorted(kept.f1[order], np.arange(n + 1))
+        self._index_sentences()
+
+    def _index_sentences(self) -> None:
+        sentences = [(k, *sentence) for k, item in enumerate(self.items) for sentence in item.sentences]
+        self.item_of = np.array([k for k, *_ in sentences], np.int64)
+        self.sizes = np.array([size for *_, size in sentences], np.int64)
+        every = np.concatenate([np.zeros(0, np.uint64), *(terms for _, terms, _, _ in sentences)])
+        different, back, times = np.unique(every, return_inverse=True, return_counts=True)
+        hits, number, owner, spot, at = [], [], [], [], 0
+        for k, (_, terms, spots, _) in enumerate(sentences):
+            most, need = len(terms), int(np.ceil(SENTENCE_SHARE * len(terms)))
+            hits.append(min(need, max(1, round(BEYOND * most))))
+            own = back[at : at + most]
+            at += most
+            rarest = np.argsort(times[own], kind="stable")[: most - need + hits[-1]]
+            number.append(own[rarest])
+            spot.append(spots[rarest])
+            owner.append(np.full(len(rarest), k, np.int64))
+        self.hits = np.array(hits, np.int64)
+        number, owner, spot = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (number, owner, spot))
+        order = np.argsort(number, kind="stable")
+        used, self.first, self.df = np.unique(number[order], return_index=True, return_counts=True)
+        self.terms, self.owner, self.spot = different[used], owner[order], spot[order]
+        self.longest = int(self.spot.max()) if len(spot) else 0
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.terms >> np.uint64(42)).astype(np.int64)] = True
 
@@ -99,34 +112,46 @@ class Index:
         good = self.terms[at] == h[maybe] if len(self.terms) else np.zeros(0, bool)
         return maybe[good], at[good]
 
-    def retrieve(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(passage, item, score) of all that reach an item's threshold, of different (passage,
-        term) rows sorted by passage."""
-        nothing = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        if not len(passage):
-            return nothing
-        fresh = np.concatenate([[True], passage[1:] != passage[:-1]])
-        names, number = passage[fresh], fresh.cumsum() - 1
-        alive = (np.bincount(number, self.top[term]) >= self.least.min())[number]
-        number, term = number[alive], term[alive]
-        if not len(term):
-            return nothing
-        sizes = self.block_first[term + 1] - self.block_first[term]
-        spread = np.repeat(self.block_first[term], sizes) + np.arange(sizes.sum()) - np.repeat(sizes.cumsum() - sizes, sizes)
-        blocks = len(self.block_least)
-        key, bound = _summed(np.repeat(number, sizes) * blocks + self.block_of[spread], self.block_max[spread], len(names) * blocks)
-        live = key[bound >= self.block_least[key % blocks]]
-        if not len(live):
-            return nothing
-        sizes = self.df[term]
-        spread = np.repeat(self.first[term], sizes) + np.arange(sizes.sum()) - np.repeat(sizes.cumsum() - sizes, sizes)
-        item, who = self.owner[spread], np.repeat(number, sizes)
-        own = who * blocks + item // BLOCK
-        good = live[np.minimum(np.searchsorted(live, own), len(live) - 1)] == own
-        code, score = _summed(who[good] * len(self.ids) + item[good], self.impact[spread[good]], len(names) * len(self.ids))
-        number, item = code // len(self.ids), code % len(self.ids)
-        enough = score >= self.least[item]
-        return names[number[enough]], item[enough], score[enough]
+    def retrieve(self, text: np.ndarray, place: np.ndarray, term: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(text, item) of all that verification can find ``least`` of, of (text, place, term) rows
+        sorted by text.
+
+        Of a sentence's m terms r must be found on DRIFT + 1 lines, so m - r may be missing there,
+        and of any m - r + x at least x are found there.
+        """
+        starts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+        edges = np.concatenate([starts, [len(text)]])
+        work = np.concatenate([[0], self.df[term].cumsum()])[edges]
+        texts, items, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        while at < len(starts):
+            end = max(at + 1, int(np.searchsorted(work, work[at] + AT_ONCE, "right")) - 1)
+            rows = slice(edges[at], edges[end])
+            sizes = self.df[term[rows]]
+            spread = np.repeat(self.first[term[rows]], sizes) + np.arange(sizes.sum()) - np.repeat(sizes.cumsum() - sizes, sizes)
+            band = (np.repeat(place[rows], sizes) - self.spot[spread] + self.longest) // BAND
+            bands = int(band.max()) + 2
+            code = np.sort((np.repeat(text[rows], sizes) * len(self.hits) + self.owner[spread]) * bands + band)
+            fresh = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            found, code = np.diff(np.concatenate([fresh, [len(code)]])), code[fresh]
+            found[:-1] += np.where(code[1:] == code[:-1] + 1, found[1:], 0)
+            code = code // bands
+            code = _different(code[found >= self.hits[code % len(self.hits)]])
+            sentence = code % len(self.hits)
+            pair = code // len(self.hits) * len(self.ids) + self.item_of[sentence]
+            first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+            covered = np.add.reduceat(self.sizes[sentence], first) if len(pair) else first
+            who, item = pair[first] // len(self.ids), pair[first] % len(self.ids)
+            enough = covered / self.lengths[item] >= least
+            texts.append(who[enough])
+            items.append(item[enough])
+            at = end
+        return np.concatenate(texts), np.concatenate(items)
+
+    def score(self, item: int, words: np.ndarray) -> float:
+        """BM25 score of an item's terms that stand among a document's, as a share of its own."""
+        own = slice(self.word_first[item], self.word_first[item + 1])
+        total = self.impact[own].sum()
+        return float(self.impact[own][np.isin(self.words[own], words)].sum() / total) if total else 0.0
 
     def verified(self, item: int, h: np.ndarray, places: np.ndarray) -> float:
         """Share of an item that stands, sentence by sentence, in a document of sorted fine terms."""
@@ -152,51 +177,26 @@ class Index:
         return covered / own.length if own.length else 0.0
 
 
-def search(index: Index, texts: list[str]) -> list[tuple[int, int, float, float]]:
-    """(text, item number, score share, share found) of what the texts contain."""
+def search(index: Index, texts: list[str], least: float = ITEM_SHARE) -> list[tuple[int, int, float, float]]:
+    """(text, item number, score share, share found) of what the texts may contain ``least`` of."""
     chars, ends = folded(texts)
-    h, places = shingles(chars, ends, TERM)
+    h, places = shingles(chars, ends, FINE)
     rows, term = index.find(h)
     if not len(rows):
         return []
-    at = places[rows]
-    text = np.searchsorted(ends, at, "right")
+    text = np.searchsorted(ends, places[rows], "right")
     starts = np.concatenate([[0], ends[:-1]])
-    window = (at - starts[text]) // (PASSAGE // 2) + 1  # passage 0 is half before the text, so that its first letters lie in two as well
-    stride = int(window.max()) + 2
-    code = np.concatenate([text * stride + window, text * stride + window - 1])
-    both = np.concatenate([term, term])
-    pair = _different(code * len(index.terms) + both)
-    passage, item, score = index.retrieve(pair // len(index.terms), pair % len(index.terms))
-    code = passage // stride * len(index.ids) + item
-    order = np.argsort(code, kind="stable")
-    code, score = code[order], (score / index.own[item])[order]
-    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
-    total = np.add.reduceat(score, first) if len(code) else score
     found, last = [], -1
-    for c, share in zip(code[first].tolist(), total.tolist(), strict=True):
-        if share < DOCUMENT_SHARE:
-            continue
-        t, i = divmod(c, len(index.ids))
+    for t, i in zip(*(x.tolist() for x in index.retrieve(text, places[rows] - starts[text], term, least)), strict=True):
         if t != last:
-            piece = chars[starts[t] : ends[t]]
-            fine, spots = shingles(piece, np.array([len(piece)]), FINE)
-            by = np.argsort(fine, kind="stable")
-            fine, spots, last = fine[by], spots[by], t
-        found.append((t, i, share, index.verified(i, fine, spots)))
+            own = slice(*np.searchsorted(places, [starts[t], ends[t]]))
+            by = np.argsort(h[own], kind="stable")
+            fine, spots, last = h[own][by], (places[own] - starts[t])[by], t
+            words = shingles(chars[starts[t] : ends[t]], np.array([ends[t] - starts[t]]), TERM)[0]
+        found.append((t, i, index.score(i, words), index.verified(i, fine, spots)))
     return found
 
 
-def _summed(code: np.ndarray, weight: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted different codes below ``most`` with the sum of their weights."""
-    if most <= 1 << 22:
-        total = np.bincount(code, weight, most)
-        found = np.flatnonzero(total)
-        return found, total[found]
-    found, back = np.unique(code, return_inverse=True)
-    return found, np.bincount(back, weight) if len(found) else np.zeros(0)
-
-
 def _different(x: np.ndarray) -> np.ndarray:
     """Sorted different values."""
     x = np.sort(x)
@@ -225,7 +225,7 @@ def leaks(docs: DataFrame, doc_id: str, items: DataFrame, item_id: str, text_col
             for batch in batches:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 texts = batch.column(1).to_pylist() if len(index.terms) else []
-                out = [(k + x[0], *x[1:]) for k, piece in pieces(texts) for x in search(index, piece) if x[3] >= least]
+                out = [(k + x[0], *x[1:]) for k, piece in pieces(texts) for x in search(index, piece, least) if x[3] >= least]
                 t, i, score, share = zip(*out, strict=True) if out else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(index.ids[list(i)]), pa.array(ids[list(t)], pa.int64()), pa.array(score, pa.float64()), pa.array(share, pa.float64())], ["item_id", "doc_id", "score", "share"]

@@ -266,6 +266,26 @@ def test_leak_at_the_start():
             assert [x[1] for x in search(index, [text]) if x[3] >= 0.5] == [k]
 
 
+def test_retrieval_loses_nothing():
+    r = random.Random(9)
+    bodies = ["".join(_sentence(r) for _ in range(8)) for _ in range(29)] + ["".join(_sentence(r) for _ in range(200))]
+    index = Index(list(enumerate(bodies)))
+    texts = [bodies[29]]
+    for body in bodies[:29]:
+        parts = re.findall("[^。]+。", body)
+        texts.append("".join(p + "".join(_sentence(r) for _ in range(14)) for p in parts[:5]))
+        texts.append("".join("某" if k % 11 == 5 else c for k, c in enumerate("".join(parts[1:6]))))
+        texts.append("".join(c + ("又" if k % 9 == 4 else "") for k, c in enumerate("".join(parts[:5]))))
+    wanted = set()
+    for k, text in enumerate(texts):
+        chars, ends = folded([text])
+        h, places = shingles(chars, ends, 3)
+        by = np.argsort(h, kind="stable")
+        wanted |= {(k, i) for i in range(30) if index.verified(i, h[by], places[by]) >= 0.5}
+    assert len(wanted) > 60 and (0, 29) in wanted
+    assert {(x[0], x[1]) for x in search(index, texts) if x[3] >= 0.5} == wanted
+
+
 def test_character_streams():
     texts = ["Ａb， 臺c", "", "学习"]
     chars, ends = folded(texts)
