@@ -2,7 +2,7 @@
 
 Documents are cut into shards by a hash of their id. In each shard a BM25 inverted index returns
 unused neighbours for a seed, the longest text left; they fill the seed's container in the order
-of their scores, then the text that fits the rest best closes it. Only texts longer than a
+of their scores until none fits any more, then the text that fits the rest best closes it. Only texts longer than a
 container are divided. Only a document's length and its heaviest terms are shuffled.
 """
 
@@ -29,8 +29,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SHARD_DOCS = 3000
 #: Characters of a term, bins of its hash, terms that stand for a document in index and query.
 TERM, BINS, HEAVIEST = 3, 1 << 17, 24
-#: BM25 parameter; neighbours looked at for a seed, by score.
-K1, NEIGHBOURS = 1.2, 48
+#: BM25 parameter.
+K1 = 1.2
 SCHEMA = "spec_id bigint, container string, doc_id bigint, piece int, first_token bigint, n_tokens bigint"
 
 
@@ -113,6 +113,7 @@ def pack(sizes: list[int], terms: list[np.ndarray], idf: np.ndarray, capacity: i
         return full
     order = sorted(range(len(rest)), key=lambda k: (rest[k][3], k))
     by_size = [(rest[k][3], k) for k in order]
+    lengths = np.array([p[3] for p in rest])
     used = np.zeros(len(rest), bool)
     owner = np.repeat(np.arange(len(rest)), [len(terms[p[0]]) for p in rest])
     bins = np.concatenate([terms[p[0]] for p in rest]) if len(owner) else np.zeros(0, np.int32)
@@ -133,11 +134,11 @@ def pack(sizes: list[int], terms: list[np.ndarray], idf: np.ndarray, capacity: i
                 found = postings[at]
                 score = np.bincount(found, np.repeat(idf[query], n), len(rest))
                 score[used] = 0
-                near = np.flatnonzero(score > 0)
-                if len(near) > NEIGHBOURS:
-                    near = near[np.argpartition(-score[near], NEIGHBOURS)[:NEIGHBOURS]]
+                near = np.flatnonzero((score > 0) & (lengths <= room))
                 for k in near[np.lexsort((near, -score[near]))].tolist():
-                    if rest[k][3] <= room and not used[k]:
+                    if not by_size or room < by_size[0][0]:
+                        break
+                    if rest[k][3] <= room:
                         used[k] = True
                         mine.append(rest[k])
                         room -= rest[k][3]

@@ -216,6 +216,13 @@ def test_packing_keeps_everything(sizes, capacity):
         assert len(own) == 1 or n > capacity
 
 
+def test_packing_goes_down_the_ranking():
+    sizes = [400] + [2] * 100 + [50] * 3
+    terms = [np.array([0], np.int32)] * 101 + [np.array([1], np.int32)] * 3
+    first = next(c for c in pack(sizes, terms, np.ones(10), 600) if c[0][0] == 0)
+    assert sorted(p[0] for p in first) == list(range(101))
+
+
 def test_containers(spark):
     r = random.Random(1)
     texts = ["".join(r.choice("甲乙丙丁戊己庚辛abc ") for _ in range(r.randint(1, 400))) for _ in range(60)] + [None, "", "长文" * 3000, "同", "同"]
