@@ -209,6 +209,14 @@ def mappers(reference: DataFrame, most: int = MOST_ENTRIES) -> dict[str, Mapper]
     return {field: Mapper(field, entries) for field, entries in fields.items()}
 
 
+def field_names(reference: DataFrame, field: str, most: int = MOST_ENTRIES) -> list[str]:
+    """Canonical spellings of a field, whose number is checked first."""
+    rows = reference.where((F.col("field_name") == field) & F.col("canonical").isNotNull()).select("canonical").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the reference list has more than {most} entries")
+    return sorted(r[0] for r in rows)
+
+
 def map_values(values: DataFrame, reference: DataFrame, field_col: str = "field_name", value_col: str = "value", keep_exact: bool = False) -> DataFrame:
     """Adds ``ref_id`` (bigint) to rows of (field, value, anything else).
 
@@ -222,8 +230,7 @@ def map_values(values: DataFrame, reference: DataFrame, field_col: str = "field_
     if not keep_exact:
         dirty: Column = F.lit(True)
         for r in sorted(by_field):
-            names = [c[0] for c in reference.where((F.col("field_name") == r) & F.col("canonical").isNotNull()).select("canonical").distinct().collect()]
-            dirty = dirty & ~((F.col(field_col) == r) & F.col(value_col).isin(names))
+            dirty = dirty & ~((F.col(field_col) == r) & F.col(value_col).isin(field_names(reference, r)))
         values = values.where(F.coalesce(dirty, F.lit(True)))
     values = values.drop("ref_id")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in values.schema), "ref_id bigint"])

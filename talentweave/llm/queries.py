@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentweave.llm.canonical import map_values, posted_values
+from talentweave.llm.canonical import field_names, map_values, posted_values
 from talentweave.llm.cooccurrence import pair_statistics
 from talentweave.llm.entity_match import matches, one_to_one
 from talentweave.llm.leakage import leaks
@@ -23,7 +23,7 @@ PAIR_ROWS, PAIR_SHARE, PAIR_LIFT = 5, 1 / 200, 3
 
 
 def _places(reference: DataFrame) -> list[str]:
-    return [r[0] for r in reference.where((F.col("field_name") == "city_name") & F.col("canonical").isNotNull()).select("canonical").distinct().collect()]
+    return field_names(reference, "city_name")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from talentweave.llm.canonical import Mapper, Trie, map_values, posted_values
 from talentweave.llm.charstream import folded, pieces, shingles
 from talentweave.llm.cooccurrence import pair_statistics, row_codes, run_lengths
-from talentweave.llm.entity_match import matches, one_to_one, read_title
+from talentweave.llm.entity_match import best_assignment, matches, mutual_best, name_likeness, near_roles, one_to_one, read_title
 from talentweave.llm.leakage import Index, body_of, leaks, search
 from talentweave.llm.name_variants import employers, index_keys, one_edit, probe_keys, read_name, variant_pairs
 from talentweave.llm.near_duplicates import bands_for, classes_with_links, run_pairs, similar_pairs
@@ -167,11 +167,78 @@ def test_matches(spark):
 def test_tied_block_is_settled(spark):
     rows = [(a, 1000 + b, 0.85) for a in range(40) for b in range(40)] + [(50, 1000, 0.9), (50, 1050, 0.8), (51, 1050, 0.7), (51, 1051, 0.7)]
     pairs = spark.createDataFrame(rows, "id_a long, id_b long, confidence double")
-    alone = one_to_one(pairs).collect()
+    alone = mutual_best(pairs).collect()
     a_taken, b_taken = {r["id_a"] for r in alone}, {r["id_b"] for r in alone}
     assert len(a_taken) == len(b_taken) == len(alone) == 41
     assert (50, 1000) in {(r["id_a"], r["id_b"]) for r in alone} and all(a in a_taken or b in b_taken for a, b, _ in rows)
-    assert one_to_one(pairs.limit(0)).count() == 0
+    assert one_to_one(pairs).count() == 42 and one_to_one(pairs, exact=4).count() >= 41
+    assert one_to_one(pairs.limit(0)).count() == mutual_best(pairs.limit(0)).count() == 0
+
+
+def _greatest(edges: dict, left: tuple = ()) -> float:
+    """Greatest total of a one-to-one choice, by trying all of them."""
+    rows = sorted({a for a, _ in edges})
+
+    def best(k: int, used: frozenset) -> float:
+        if k == len(rows):
+            return 0.0
+        return max([best(k + 1, used)] + [w + best(k + 1, used | {b}) for (a, b), w in edges.items() if a == rows[k] and b not in used])
+
+    return best(0, frozenset())
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.tuples(st.integers(0, 5), st.integers(0, 5)), st.integers(1, 9), min_size=1, max_size=14))
+def test_assignment_is_exact(edges):
+    w = np.zeros((6, 6))
+    for (a, b), x in edges.items():
+        w[a, b] = x
+    chosen = best_assignment(w)
+    assert len({a for a, _ in chosen}) == len({b for _, b in chosen}) == len(chosen) and all(w[p] > 0 for p in chosen)
+    assert sum(w[p] for p in chosen) == pytest.approx(_greatest(edges))
+
+
+def test_assignment_of_chains_and_random_graphs(spark):
+    r = random.Random(12)
+    rows = [(k, 1000 + k, round(0.9 - 0.001 * k, 4)) for k in range(30)] + [(k + 1, 1000 + k, round(0.8995 - 0.001 * k, 4)) for k in range(29)]
+    graphs = []
+    for g in range(12):
+        edges = {(10_000 * (g + 1) + r.randrange(5), 10_000 * (g + 1) + r.randrange(5)): round(r.uniform(0.87, 1), 4) for _ in range(9)}
+        graphs.append(_greatest(edges))
+        rows += [(a, b, c) for (a, b), c in edges.items()]
+    alone = one_to_one(spark.createDataFrame(rows + rows[:5], "id_a long, id_b long, confidence double")).collect()
+    assert sum(x["confidence"] for x in alone) == pytest.approx(sum(round(0.9 - 0.001 * k, 4) for k in range(30)) + sum(graphs))
+    assert len({x["id_a"] for x in alone}) == len({x["id_b"] for x in alone}) == len(alone)
+
+
+def test_alike_fields(spark):
+    roles = spark.createDataFrame([("前发开端", 500), ("后发开端", 400), ("前发开", 2), ("前发开端网", 3), ("前后发开端", 4), ("运维", 900), ("维运营", 1)], "role string, n long")
+    found = {x["role"]: (x["root"], x["role_sim"]) for x in near_roles(roles).collect()}
+    assert found == {"前发开": ("前发开端", 0.75), "前发开端网": ("前发开端", 0.8), "前后发开端": ("前发开端", 0.8)}
+    assert name_likeness("甲乙丙丁戊己庚", "甲乙丙丁戊壬癸") == pytest.approx(2 / 3) and name_likeness("甲乙丙", "甲乙丁") == 0 == name_likeness("甲", "乙")
+
+
+def test_hot_keys_are_split_and_titles_may_err(spark):
+    fields = "title string, company_name string, city_name string, salary_min int, salary_max int"
+    r = random.Random(13)
+    left = [(k, r.choice(["后端开发工程师", "高级后端开发工程师"]), "甲乙丙丁软件", r.choice(["上海", None]), *r.choice([(20, 30), (21, 31), (0, 0), (25, 33)])) for k in range(60)]
+    left += [(100 + k, "后端开发工程师", f"戊己庚辛{k % 3}软件", "上海", 20, 30) for k in range(60)]
+    right = [(k, r.choice(["后端研发", "后端开发工程师(高级)", "后端发工程师"]), "甲乙丙丁软件集团", r.choice(["上海", "北京", None]), *r.choice([(22, 30), (23, 33), (0, 0)])) for k in range(40)]
+    a, b = spark.createDataFrame(left, "job_no long, " + fields), spark.createDataFrame(right, "listing_no long, " + fields)
+
+    def pair(x: tuple, y: tuple) -> bool:
+        same = "甲乙丙丁" in x[2] and ("高级" in x[1]) == ("高级" in y[1]) and (x[3] is None or y[3] is None or x[3] == y[3])
+        # A letter less in the role and a salary at the edge of the gap are too much together where the city is unknown.
+        lost, far = 0.05 * ("开" not in y[1] and "研" not in y[1]), x[4] and y[4] and max(abs(x[4] - y[4]), abs(x[5] - y[5]))
+        gap = 0.15 * (far / 4 if far <= 2 else 1) if x[4] and y[4] else 0
+        known = 0.75 + 0.1 * bool(x[3] and y[3]) + 0.15 * bool(x[4] and y[4])
+        return same and 1 - (lost + gap) / known >= 0.87
+
+    wanted = {(x[0], y[0]) for x in left for y in right if pair(x, y)}
+    for part in (7, 1000):
+        found = [(x["id_a"], x["id_b"]) for x in matches(a, "job_no", b, "listing_no", _reference(spark), part=part).collect()]
+        assert len(found) == len(set(found)) and set(found) == wanted
+    assert any("开" not in right[y][1] and "研" not in right[y][1] for _, y in wanted) and len(wanted) > 200
 
 
 # --- 6: items together ------------------------------------------------------------------------
