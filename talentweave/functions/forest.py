@@ -18,12 +18,15 @@ class Forest:
         self.model: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.steps: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
 
-    def fit(self, x: np.ndarray, y: np.ndarray, classes: int) -> Forest:
-        """Three quarters of the rows grow the trees, the rest calibrate them."""
+    def fit(self, x: np.ndarray, y: np.ndarray, classes: int, groups: np.ndarray | None = None) -> Forest:
+        """Three quarters of the groups grow the trees, the rest calibrate them; without ``groups`` a row is
+        a group of its own. Rows of one group are never on both sides."""
         self.classes = classes
         rng = np.random.default_rng(self.seed)
-        order = rng.permutation(len(y))
-        held, own = order[: len(y) // 4], order[len(y) // 4 :]
+        names, which = np.unique(np.arange(len(y)) if groups is None else groups, return_inverse=True)
+        apart = np.zeros(len(names), bool)
+        apart[rng.permutation(len(names))[: len(names) // 4]] = True
+        held, own = np.flatnonzero(apart[which]), np.flatnonzero(~apart[which])
         edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, self.bins + 1)[1:-1])) for f in range(x.shape[1])]
         for _ in range(self.trees):
             pick = rng.choice(own, len(own))
@@ -37,7 +40,7 @@ class Forest:
         feature, cut = np.full(nodes, -1), np.zeros(nodes)
         share = np.full((nodes, self.classes), 1 / self.classes)
         at: dict[int, np.ndarray] = {0: np.arange(len(y))}
-        wanted = max(2, int(np.ceil(x.shape[1] * 0.6)))
+        wanted = min(x.shape[1], max(2, int(np.ceil(x.shape[1] * 0.6))))
         for node in range(nodes):
             rows = at.pop(node, None)
             if rows is None or not len(rows):

@@ -98,10 +98,11 @@ def read_pay(text: str | None) -> tuple[Decimal | None, Unit]:
 
 
 def note_unit(text: str | None) -> Unit:
-    """Unit stated in the last clause of a description, if that clause speaks of pay units."""
+    """Unit stated in the last clause of a description, whatever its length, if that clause speaks of
+    pay units."""
     if not text:
         return Unit(None, None)
-    tail = unicodedata.normalize("NFKC", text[-60:]).lower().rstrip(" .。\n\r\t")
+    tail = unicodedata.normalize("NFKC", text).lower().rstrip(" .。\n\r\t")
     clause = re.split(r"[\n。;]|\.\s", tail)[-1]
     if _PAY_NOTE.search(clause) and _UNIT_NOTE.search(clause):
         unit = unit_of(clause)

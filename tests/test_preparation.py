@@ -1,10 +1,17 @@
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from pyspark.sql import functions as F
 
 from talentweave.functions.forest import Forest
 from talentweave.functions.pay import complete, monthly_yuan, note_unit, read_pay
+from talentweave.operators import value_split as V
 from talentweave.operators.pay_units import to_monthly, train_units
 from talentweave.operators.value_split import split_field, split_values
 
@@ -18,6 +25,89 @@ def test_split_values(text, values):
     assert split_values(text) == values or (text == "[]" and split_values(text) == [])
 
 
+def _quote_ahead(text: str, start: int, close: str) -> int:
+    """Index of the quote that ends the one opened before start, or -1. Doubled ones are content."""
+    at = text.find(close, start)
+    while at >= 0 and text.startswith(close, at + 1):
+        at = text.find(close, at + 2)
+    return at
+
+
+def _bracket_ahead(text: str, start: int) -> int:
+    """Index of the bracket that closes the one at start, with nesting, or -1."""
+    stack = [V.BRACKETS[text[start]]]
+    for at in range(start + 1, len(text)):
+        char = text[at]
+        if char == stack[-1]:
+            stack.pop()
+            if not stack:
+                return at
+        elif char in V.BRACKETS:
+            stack.append(V.BRACKETS[char])
+    return text.find(V.BRACKETS[text[start]], start + 1)
+
+
+def _ahead(text: str) -> list[str]:
+    """The same rules by looking ahead from every quote and bracket, piece by piece."""
+    values: list[str] = []
+    piece: list[str] = []
+    size, at = len(text), 0
+    unquoted: str | None = None
+
+    def close_piece() -> None:
+        nonlocal unquoted
+        raw = "".join(piece).strip(V._BLANKS)
+        value = raw if unquoted is None else unquoted.strip(V._BLANKS)
+        if value:
+            values.append(value)
+        piece.clear()
+        unquoted = None
+
+    while at < size:
+        char = text[at]
+        if char in V.DELIMITERS or (char in " \u00a0" and at + 1 < size and text[at + 1] in " \u00a0"):
+            close_piece()
+            at += 1
+            continue
+        begun = bool("".join(piece).strip(V._BLANKS)) if piece else False
+        if char in V.QUOTES and (not begun or char not in "\"'＂"):
+            close = V.QUOTES[char]
+            end = _quote_ahead(text, at + 1, close)
+            if end >= 0:
+                rest = text[end + 1 :].lstrip(" \u00a0")
+                alone = not begun and (not rest or rest[0] in V.DELIMITERS or text[end + 1 : end + 3].strip(" \u00a0") == "" and len(text[end + 1 : end + 3]) == 2)
+                piece.append(text[at : end + 1])
+                if alone:
+                    unquoted = text[at + 1 : end].replace(close * 2, close)
+                at = end + 1
+                continue
+        elif char in V.BRACKETS:
+            end = _bracket_ahead(text, at)
+            if end >= 0:
+                piece.append(text[at : end + 1])
+                at = end + 1
+                continue
+        piece.append(char)
+        at += 1
+    close_piece()
+    return values
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("ab ,，\"'“”「」()（[]】【 /", max_size=14))
+def test_one_pass_equals_looking_ahead(text):
+    if V._SPECIAL.search(text) and not (text.strip(V._BLANKS)[:1] == "[" and text.strip(V._BLANKS)[-1:] == "]"):
+        assert split_values(text) == _ahead(text)
+
+
+def test_escapes_and_long_fields():
+    assert split_values('"a\\"b,c",d') == ['a"b,c', "d"] and split_values("'x\\',y',z") == ["x',y", "z"] and split_values("a\\b,c") == ["a\\b", "c"]
+    start = time.process_time()
+    for text in ("(" * 500_000 + "," * 500_000, "“a" * 300_000, '"a,' * 300_000, "([" * 250_000 + ")," * 250_000, "a' " * 300_000):
+        split_values(text)
+    assert time.process_time() - start < 60
+
+
 def test_split_field(spark):
     df = spark.createDataFrame([(1, "a,a", 9), (1, "b", 8), (2, None, 7), (3, "x" * 200_000 + ",y", 6)], "raw_no long, jobtags string, tag_pos int")
     found = sorted((r["raw_no"], r["tag_pos"], r["tag_value"][:2]) for r in split_field(df, "raw_no", "jobtags").collect())
@@ -53,6 +143,22 @@ def test_units_by_origin_and_model(spark):
     assert train_units([], {}, {}) is None
 
 
+def test_last_clause_of_any_length(spark):
+    long = "薪资说明：本岗位所列金额" + "（含各项补贴与季度奖励的平均水平）" * 9 + "按日结算，单位为元/天"
+    assert note_unit("做事。\n" + long + "。") == ("yuan", "day")
+    notes = spark.createDataFrame([("a", "只填数字的按千元每月")], "source string, note_text string")
+    df = spark.createDataFrame([(1, "300", "做事；细心。\n" + long + "。\n"), (2, "20", "薪资按日结算，单位为元/天。能出差")], "raw_no long, lo string, d string").withColumns({"hi": F.lit(None).cast("string"), "source": F.lit("a"), "cat": F.lit("i"), "jid": F.lit("x")})
+    found = {r["id"]: (r["monthly_yuan"], r["origin"]) for r in to_monthly(df, notes, "raw_no", "lo", "hi", "d", "source", "cat", "jid").collect()}
+    assert found == {1: (6525, "description"), 2: (20000, "source")}
+
+
+def test_postings_are_not_split():
+    x, groups = np.repeat(np.arange(200.0)[:, None], 2, 0), np.repeat(np.arange(200), 2)
+    y = np.random.default_rng(2).integers(0, 2, 200).repeat(2)
+    _, sure = Forest(depth=9, least=1).fit(x, y, 2, groups).predict(x)
+    assert sure.max() < 0.75
+
+
 def test_forest_is_calibrated():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 3))
