@@ -74,3 +74,18 @@ def rule_entities(text: Column) -> Column:
     named = F.array_compact(F.array(*skills, *education, *majors))
     done = F.transform(F.filter(F.flatten(F.array(*duties)), lambda d: F.length(d) > 3), lambda d: F.struct(F.lit("DUTY").alias("entity"), d.alias("word")))
     return F.when(F.rlike(text, F.lit(r"(?U)\S")), F.array_distinct(F.concat(named, done)))
+
+
+def listed_entities(text: Column, words: list[str], entity: str) -> Column:
+    """Array of (entity, word) of the listed words that a text holds, letter by letter; null texts have none."""
+    kind = "array<struct<entity:string,word:string>>"
+    found = F.filter(F.array(*map(F.lit, words)) if words else F.array().cast("array<string>"), lambda w: F.contains(F.coalesce(text, F.lit("")), w))
+    return F.transform(found, lambda w: F.struct(F.lit(entity).alias("entity"), w.alias("word"))).cast(kind)
+
+
+def valid_entities(entities: Column) -> Column:
+    """Array of (entity, word) without blanks in the words, each once, the first one; words of fewer than two
+    characters or without letters and digits leave. A null array stays null."""
+    clean = F.transform(entities, lambda e: F.struct(e["entity"].alias("entity"), F.replace(e["word"], F.lit(" "), F.lit("")).alias("word")))
+    good = F.filter(clean, lambda e: F.rlike(e["word"], F.lit(r"(?U)\S")) & (F.length(e["word"]) >= 2) & ~F.rlike(e["word"], F.lit(r"(?U)^[\W_]+$")))
+    return F.array_distinct(good)

@@ -14,7 +14,6 @@ from talentweave import dictionaries as D
 from talentweave.functions import normalize as N
 from talentweave.functions.salary_texts import liepin, qiancheng, zhaopin
 from talentweave.functions.text import dedup_key, ned_key, node_id, normalize_text, safe_salary, salary_mid
-from talentweave.operators import entities as E
 from talentweave.operators import extract as X
 from talentweave.operators import graph as G
 from talentweave.operators import postings as P
@@ -68,7 +67,7 @@ _CLEAN = "list_sort(list_distinct(list_filter(coalesce({c}, []), lambda x: x IS
 _JOBS = (
     "jobs AS (SELECT job_no, job_id, title, "
     + ", ".join(f"coalesce(nullif({c}, ''), {_q(d)}) AS {c}" for c, d in G.DEFAULTS.items())
-    + ", salary_min, salary_max, salary_mid, "
+    + ", salary_min, salary_max, salary_mid, source, detail_link, company_type, company_size, "
     + ", ".join(_CLEAN.replace("{c}", c) + f" AS {c}" for c in G.LISTS)
     + " FROM normalized_job WHERE job_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY job_no DESC) = 1)"
 )
@@ -108,7 +107,13 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "job_raw").select("raw_no", low.alias("low"), high.alias("high"), salary_mid(low, high).alias("mid"))
 
 
-@query("F7_stable_job_id")
+_GIVEN = f"regexp_replace(coalesce(_job_id, ''), '^{_BLANK}|{_BLANK}$', '', 'g')"
+
+
+_JOB_ID = f"coalesce(nullif({_GIVEN}, ''), md5({_norm('jobname')} || '|' || {_norm('companyname')} || '|' || {_norm('jobareastring')}))"
+
+
+@query("F7_stable_job_id", f"SELECT raw_no, {_JOB_ID} AS job_id FROM job_raw")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return P.normalize_jobs(table(spark, folder, "job_raw")).select("raw_no", "job_id")
 
@@ -141,10 +146,10 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 _C, _CK = _norm("jobareastring"), "lower(" + _norm("jobareastring") + ")"
 
 
-@query(
-    "F12_city",
-    f"SELECT raw_no, coalesce({_alias_sql(_CK, D.CITIES)}, {_within_sql(_CK, D.CITIES)}, list_filter(list_transform(regexp_split_to_array({_C}, '[/,;|-]'), lambda x: trim(x)), lambda x: x <> '')[1], {_C}) AS city_name FROM job_raw",
-)
+_CITY = f"coalesce({_alias_sql(_CK, D.CITIES)}, {_within_sql(_CK, D.CITIES)}, list_filter(list_transform(regexp_split_to_array({_C}, '[/,;|-]'), lambda x: trim(x)), lambda x: x <> '')[1], {_C})"
+
+
+@query("F12_city", f"SELECT raw_no, {_CITY} AS city_name FROM job_raw")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "job_raw").select("raw_no", N.city(F.col("jobareastring")).alias("city_name"))
 
@@ -152,7 +157,10 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 _F = r"regexp_replace(regexp_replace(" + _norm("companyname") + r", '\(\s*', '(', 'g'), '\s*\)', ')', 'g')"
 
 
-@query("F13_company", f"SELECT raw_no, coalesce(nullif(trim(regexp_replace({_F}, '({'|'.join(D.LEGAL_ENDINGS)})$', '')), ''), {_F}) AS company_name FROM job_raw")
+_COMPANY = f"coalesce(nullif(trim(regexp_replace({_F}, '({'|'.join(D.LEGAL_ENDINGS)})$', '')), ''), {_F})"
+
+
+@query("F13_company", f"SELECT raw_no, {_COMPANY} AS company_name FROM job_raw")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "job_raw").select("raw_no", N.company(F.col("companyname")).alias("company_name"))
 
@@ -160,7 +168,10 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 _I = f"replace({_norm('industrytype1str')}, ',', '/')"
 
 
-@query("F14_industry", f"SELECT raw_no, coalesce({_alias_sql(f'lower({_I})', D.INDUSTRIES)}, {_I}) AS industry_name FROM job_raw")
+_INDUSTRY = f"coalesce({_alias_sql(f'lower({_I})', D.INDUSTRIES)}, {_I})"
+
+
+@query("F14_industry", f"SELECT raw_no, {_INDUSTRY} AS industry_name FROM job_raw")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "job_raw").select("raw_no", N.industry(F.col("industrytype1str")).alias("industry_name"))
 
@@ -238,7 +249,22 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "job_raw").select("raw_no", dedup_key(F.col("jobname"), F.col("companyname")).alias("key"))
 
 
-@query("G1_normalize_jobs")
+def _or(x: str, default: str) -> str:
+    return f"coalesce(nullif({x}, ''), {_q(default)})"
+
+
+_MID = "CASE WHEN salary_max <> 0 THEN round((salary_min + salary_max) / 2, 1) ELSE salary_min::DOUBLE END"
+_NORMALIZED = (
+    "WITH n AS (SELECT raw_no, " + ", ".join(f"{x} AS {c}" for c, x in {
+        "title": _norm("jobname"), "company_name": _or(_COMPANY, "未知公司"), "city_name": _or(_CITY, "未知"), "industry_name": _or(_INDUSTRY, "未知行业"), "degree_name": _DEGREE, "experience_name": _YEARS,
+        "salary_min": _SAFE.replace("{x}", "salarymin"), "salary_max": _SAFE.replace("{x}", "salarymax"), "source": _or(_norm("source"), "51job"), "description": _norm("jobdescribe"),
+        "detail_link": _norm("_detail_link"), "company_type": _norm("companytypestring"), "company_size": _norm("companysizestring"), "job_id": _JOB_ID,
+    }.items()) + f" FROM job_raw), e AS ({ORACLE['F22_extract_entities']}), g AS (SELECT raw_no, array_to_string(list_sort(list_distinct({_TOKENS})), '¦') AS raw_tags FROM job_raw) "
+    f"SELECT n.*, {_MID} AS salary_mid, e.skills, e.benefits, e.keywords, g.raw_tags FROM n JOIN e USING (raw_no) JOIN g USING (raw_no)"
+)
+
+
+@query("G1_normalize_jobs", _NORMALIZED)
 def _(spark: SparkSession, folder: str) -> DataFrame:
     found = P.normalize_jobs(table(spark, folder, "job_raw"))
     lists = ("skills", "benefits", "keywords", "raw_tags")
@@ -314,174 +340,35 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return R.search(_jobs(spark, folder), keyword="工程师", skills=["Python"], least_salary=20).select("job_id", "title", "company_name", "salary_mid")
 
 
-@query("G6_get_job", _WITH + "SELECT job_id, title, company_name, city_name, array_to_string(skills, '¦') AS skills FROM jobs WHERE job_id = (SELECT min(job_id) FROM jobs)")
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    jobs = _jobs(spark, folder)
-    return jobs.where(F.col("job_id") == _seed(jobs)).select("job_id", "title", "company_name", "city_name", F.array_join("skills", "¦").alias("skills"))
-
-
 def _seed(jobs: DataFrame) -> str:
     return jobs.agg(F.min("job_id")).first()[0] or ""
 
 
-_SIM = (
-    "seeds AS (SELECT job_id FROM jobs WHERE job_no % 100 = 0), "
-    "sh AS (SELECT a.job_id AS seed_id, b.job_id AS job_id, count(*) FILTER (a.label = 'Skill') AS skills, count(*) FILTER (a.label = 'Benefit') AS benefits, count(*) FILTER (a.label = 'City') AS city, "
-    "count(*) FILTER (a.label = 'Industry') AS industry, count(*) FILTER (a.label = 'Company') AS company FROM je a JOIN seeds s ON s.job_id = a.job_id JOIN je b ON a.label = b.label AND a.name = b.name AND a.job_id <> b.job_id "
-    "WHERE a.label IN ('Skill', 'Benefit', 'City', 'Industry', 'Company') GROUP BY ALL), "
-    "sim AS (SELECT *, skills * 3.0::DOUBLE + benefits * 0.6::DOUBLE + city * 1.5::DOUBLE + industry * 1.5::DOUBLE + company * 1.0::DOUBLE AS raw FROM sh WHERE skills * 3.0::DOUBLE + benefits * 0.6::DOUBLE + city * 1.5::DOUBLE + industry * 1.5::DOUBLE + company * 1.0::DOUBLE >= 3.0) "
-)
-
-
-@query(
-    "G14_similar_jobs",
-    f"WITH {_JOBS}, {_ENTITIES}, {_SIM} SELECT seed_id, (row_number() OVER (PARTITION BY seed_id ORDER BY round(raw, 4) DESC, salary_mid DESC, sim.job_id))::INTEGER AS rank, sim.job_id, round(raw, 4) AS score, sim.skills, sim.benefits "
-    "FROM sim JOIN jobs USING (job_id) QUALIFY rank <= 10",
-)
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    jobs = _jobs(spark, folder)
-    return R.similar_jobs(jobs.where(F.col("job_no") % 100 == 0), jobs)
-
-
-_PROFILE = R.Profile(skills=["Python", "机器学习", "Kafka"], keywords=["低代码", "Docker"], benefits=["带薪年休", "年度体检"], city="上海", industry="金融科技", least_salary=15)
-
-
-@query(
-    "G11_recommend",
-    _WITH + "SELECT job_id, title, "
-    "round(4.0::DOUBLE * ms + round(ms / 3 * 2.0::DOUBLE, 2) + 1.5::DOUBLE * mk + round(1.2::DOUBLE * mb, 2) + c + i + 1.0::DOUBLE, 2) AS score, array_to_string(matched, '¦') AS matched_skills FROM (SELECT *, list_filter(['Python', '机器学习', 'Kafka'], lambda x: list_contains(skills, x)) AS matched, "
-    "len(list_filter(['Python', '机器学习', 'Kafka'], lambda x: list_contains(skills, x))) AS ms, len(list_filter(['低代码', 'Docker'], lambda x: list_contains(keywords, x) OR list_contains(skills, x))) AS mk, "
-    "len(list_filter(['带薪年休', '年度体检'], lambda x: list_contains(benefits, x))) AS mb, CASE WHEN city_name = '上海' THEN 3.0::DOUBLE ELSE 0 END AS c, CASE WHEN industry_name = '金融科技' THEN 2.5::DOUBLE ELSE 0 END AS i FROM jobs WHERE salary_max >= 15) "
-    "WHERE ms + mk + mb > 0 ORDER BY score DESC, salary_mid DESC, len(skills) DESC, job_id LIMIT 10",
+_SIMILAR = (
+    "pairs AS (SELECT a.job_id AS x, b.job_id AS y, " + ", ".join(f"count(*) FILTER (a.label = '{lb}') AS {c}" for lb, c in (("Skill", "skills"), ("Benefit", "benefits"), ("City", "city"), ("Industry", "industry"), ("Company", "company")))
+    + ", list_sort(list(a.name) FILTER (a.label = 'Skill')) AS shared_skills, list_sort(list(a.name) FILTER (a.label = 'Benefit')) AS shared_benefits "
+    "FROM je a JOIN je b ON a.label = b.label AND a.name = b.name AND a.job_id <> b.job_id WHERE a.label IN ('Skill', 'Benefit', 'City', 'Industry', 'Company') AND a.job_id IN ({seeds}) GROUP BY a.job_id, b.job_id), "
+    "sim AS MATERIALIZED (SELECT *, skills * 3.0::DOUBLE + benefits * 0.6::DOUBLE + city * 1.5::DOUBLE + industry * 1.5::DOUBLE + company * 1.0::DOUBLE AS raw, ln(1.0::DOUBLE + skills + benefits + city + industry + company) AS sup "
+    "FROM pairs WHERE skills * 3.0::DOUBLE + benefits * 0.6::DOUBLE + city * 1.5::DOUBLE + industry * 1.5::DOUBLE + company * 1.0::DOUBLE >= 3.0)"
 )
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    return R.recommend(_jobs(spark, folder), _PROFILE).select("job_id", "title", "score", F.array_join("matched_skills", "¦").alias("matched_skills"))
 
 
-@query("G13_reasons")
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    return R.reasons(R.recommend(_jobs(spark, folder), _PROFILE)).select("job_id", "score", F.array_join("reasons", "；").alias("reasons"))
+def similar_sql(seeds: str) -> str:
+    return _SIMILAR.replace("{seeds}", seeds)
 
 
-@query(
-    "G19_job_graph",
-    _WITH + "SELECT relation, label, name, " + _node("label", "name") + " AS node FROM je WHERE job_id = (SELECT min(job_id) FROM jobs) ORDER BY CASE relation WHEN 'REQUIRES_SKILL' THEN 1 WHEN 'LOCATED_IN' THEN 2 WHEN 'IN_INDUSTRY' THEN 3 "
-    "WHEN 'POSTED_BY' THEN 4 WHEN 'HAS_BENEFIT' THEN 5 WHEN 'HAS_KEYWORD' THEN 6 ELSE 7 END, name LIMIT 80",
+_SHARED = (
+    "array_to_string(list_filter([CASE WHEN len(sim.shared_skills) > 0 THEN '共享技能 ' || array_to_string(sim.shared_skills, ', ') END, CASE WHEN len(sim.shared_benefits) > 0 THEN '共享福利 ' || array_to_string(sim.shared_benefits[1:3], ', ') END, "
+    "CASE WHEN city = 1 THEN '同城候选 ' || city_name END, CASE WHEN industry = 1 THEN '行业关联 ' || industry_name END, CASE WHEN company = 1 THEN '同公司 ' || company_name END], lambda r: r IS NOT NULL), '；')"
 )
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    jobs = _jobs(spark, folder)
-    return G.job_graph(jobs, _seed(jobs))
-
-
-@query("G18_reasoning_paths")
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    jobs = _jobs(spark, folder)
-    found = R.explanation(R.paths(jobs, _seed(jobs), 3, 10))
-    return found.select("job_id", "hops", "score", "explanation")
 
 
 @query(
-    "G16_paths_one_hop",
-    f"WITH {_JOBS}, {_ENTITIES}, {_SIM.replace('WHERE job_no % 100 = 0', 'WHERE job_id = (SELECT min(job_id) FROM jobs)')} "
-    "SELECT sim.job_id, 1 AS hops, round(ln(1.0::DOUBLE + sim.skills + sim.benefits + city + industry + company), 4) AS score FROM sim JOIN jobs USING (job_id) ORDER BY score DESC, coalesce(title, sim.job_id), sim.job_id LIMIT 10",
+    "G14_similar_jobs",
+    f"WITH {_JOBS}, {_ENTITIES}, {similar_sql('SELECT job_id FROM jobs WHERE job_no % 100 = 0')} SELECT x AS seed_id, (row_number() OVER (PARTITION BY x ORDER BY round(raw, 4) DESC, salary_mid DESC, y))::INTEGER AS rank, y AS job_id, round(raw, 4) AS score, sim.skills, sim.benefits, {_SHARED} AS reasons "
+    "FROM sim JOIN jobs ON job_id = y QUALIFY rank <= 10",
 )
 def _(spark: SparkSession, folder: str) -> DataFrame:
     jobs = _jobs(spark, folder)
-    return R.paths(jobs, _seed(jobs), 1, 10).select("job_id", "hops", "score")
-
-
-# --- recognized entities ----------------------------------------------------------------------
-
-
-@query("NR1_rule_entities")
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    found = table(spark, folder, "ner_record").select("ner_no", F.explode(X.rule_entities(F.col("jobdescription"))).alias("e"))
-    return found.select("ner_no", F.col("e.entity").alias("entity"), F.col("e.word").alias("word"))
-
-
-_BLANKFREE = r"regexp_matches({x}, '\S') AND regexp_replace({x}, '" + _BLANK + "', '', 'g') <> ''"
-_CONTAINS = "SELECT ner_no, '{t}' AS entity, w AS word FROM ner_record, (SELECT unnest([{l}]) AS w) WHERE contains(jobdescription, w) AND " + _BLANKFREE.replace("{x}", "jobdescription")
-
-
-@query("NR2_education_majors", " UNION ALL ".join(_CONTAINS.replace("{t}", t).replace("{l}", ", ".join(map(_q, words))) for t, words in (("EDUCATION", D.NER_EDUCATION), ("MAJOR", D.NER_MAJORS))))
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    found = table(spark, folder, "ner_record").select("ner_no", F.explode(X.rule_entities(F.col("jobdescription"))).alias("e"))
-    return found.select("ner_no", F.col("e.entity").alias("entity"), F.col("e.word").alias("word")).where("entity IN ('EDUCATION', 'MAJOR')")
-
-
-def _split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, folder, "ner_record")
-    rules = rows.withColumn("namedentity", X.rule_entities(F.col("jobdescription")))
-    return rows, rules
-
-
-@query("NM1_merge_recognized")
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    model, rules = _split(spark, folder)
-    return E.merge_recognized(model, rules, "ner_no").select("ner_no", F.array_join(F.transform("namedentity", lambda e: F.concat_ws(":", e["entity"], e["word"])), "¦").alias("entities"))
-
-
-_WORDS = "w AS (SELECT ner_no, e.entity AS etype, e.word AS word FROM (SELECT ner_no, unnest(namedentity) AS e FROM ner_record) WHERE e.entity IS NOT NULL AND " + _BLANKFREE.replace("{x}", "e.word") + ") "
-
-
-@query("A9_word_counts", "WITH " + _WORDS + "SELECT etype, word, count(*) AS freq FROM w GROUP BY ALL")
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    return E.word_counts(E.entity_words(table(spark, folder, "ner_record"), "ner_no")).select("etype", "word", "freq")
-
-
-_RULES = "CASE " + " ".join(f"WHEN etype = {_q(t)} AND key = {_q(k)} THEN {_q(v)}" for (t, k), v in E._rules().items()) + " END"
-
-
-@query("N2_rule_match", "WITH " + _WORDS + f", c AS (SELECT etype, word, count(*) AS freq, regexp_replace(replace(regexp_replace(lower(word), '^{_BLANK}|{_BLANK}$', '', 'g'), '/', ' '), '{_BLANK}', ' ', 'g') AS key FROM w GROUP BY etype, word) SELECT etype, word, freq, {_RULES} AS canonical FROM c")
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    return E.rule_match(E.word_counts(E.entity_words(table(spark, folder, "ner_record"), "ner_no"))).select("etype", "word", "freq", "canonical")
-
-
-def _mapping(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    words = E.entity_words(table(spark, folder, "ner_record"), "ner_no")
-    return words, E.disambiguate(E.word_counts(words))
-
-
-@query("N3_disambiguate")
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    return _mapping(spark, folder)[1]
-
-
-@query("N5_apply_mapping")
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    words, mapping = _mapping(spark, folder)
-    return E.apply_mapping(words, mapping, "ner_no")
-
-
-@query("N7_mapping_summary")
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    return E.mapping_summary(_mapping(spark, folder)[1])
-
-
-@query("R1_sentences", rf"WITH s AS (SELECT ner_no, generate_subscripts(p, 1) - 1 AS sentence_no, unnest(p) AS s FROM (SELECT ner_no, regexp_split_to_array(jobdescription, '[。；;\n]+') AS p FROM ner_record)), t AS (SELECT ner_no, sentence_no::INTEGER AS sentence_no, regexp_replace(s, '^{_BLANK}|{_BLANK}$', '', 'g') AS s FROM s) SELECT ner_no, sentence_no, regexp_replace(s, '^\d+[、\.]\s*', '') AS sentence FROM t WHERE len(s) > 5")
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    return E.sentences(table(spark, folder, "ner_record"), "ner_no", "jobdescription")
-
-
-@query("R4_rule_triples")
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    named = F.filter(X.rule_entities(F.col("jobdescription")), lambda e: e["entity"] != "DUTY")
-    return E.rule_triples(table(spark, folder, "ner_record").withColumn("namedentity", named), "ner_no")
-
-
-@query("K4_triples_by_relation")
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    return QUERIES["R4_rule_triples"](spark, folder).groupBy("relation").agg(F.count(F.lit(1)).alias("triples"))
-
-
-_RELATION = "CASE e.entity " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in D.ENTITY_RELATIONS.items()) + " ELSE 'RELATED_TO' END"
-
-
-@query("G9_entity_edges", f"SELECT DISTINCT link, {_RELATION} AS relation, e.word AS name FROM (SELECT detaillink AS link, unnest(namedentity) AS e FROM ner_record WHERE detaillink IS NOT NULL) WHERE " + _BLANKFREE.replace("{x}", "e.word"))
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    return E.entity_edges(table(spark, folder, "ner_record"))
-
-
-@query("A19_entity_labels", "SELECT e.word AS name, array_to_string(list_sort(list_distinct(list(e.entity))), '¦') AS labels FROM (SELECT unnest(namedentity) AS e FROM ner_record) WHERE " + _BLANKFREE.replace("{x}", "e.word") + " GROUP BY e.word")
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    return E.entity_labels(table(spark, folder, "ner_record")).withColumn("labels", F.array_join("labels", "¦"))
+    found = R.similar_jobs(jobs.where(F.col("job_no") % 100 == 0), jobs)
+    return found.select("seed_id", "rank", "job_id", "score", "skills", "benefits", F.array_join("reasons", "；").alias("reasons"))

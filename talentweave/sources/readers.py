@@ -110,6 +110,39 @@ def cards(pages: DataFrame, id_col: str, html_col: str, card: str, fields: dict[
     return pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(html_col).alias("page")).mapInPandas(run, CARD)
 
 
+class _Classes(HTMLParser):
+    """Collects the text within the first element of each wanted class."""
+
+    def __init__(self, wanted: list[str]) -> None:
+        super().__init__(convert_charrefs=True)
+        self.wanted, self.stack, self.open = wanted, 0, {}
+        self.found: dict[str, list[str]] = {}
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in ("br", "img", "input", "meta", "link", "hr"):
+            return
+        self.stack += 1
+        for name in (dict(attrs).get("class") or "").split():
+            if name in self.wanted and name not in self.found:
+                self.found[name] = []
+                self.open[name] = self.stack
+
+    def handle_endtag(self, tag: str) -> None:
+        self.open = {n: d for n, d in self.open.items() if d < self.stack}
+        self.stack = max(0, self.stack - 1)
+
+    def handle_data(self, data: str) -> None:
+        for name in self.open:
+            self.found[name].append(data)
+
+
+def read_classes(page: str | None, wanted: list[str]) -> dict[str, str]:
+    """Text of the first element of each class that a page has."""
+    parser = _Classes(wanted)
+    parser.feed(page or "")
+    return {n: " ".join("".join(t).split()) for n, t in parser.found.items()}
+
+
 def first_long_text(*candidates: str, least: int = 50):
     """First of several columns whose text is longer than ``least``, as a column; null if none is."""
     return F.coalesce(*[F.when(F.length(c) > least, F.col(c)) for c in candidates])
