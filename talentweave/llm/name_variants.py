@@ -227,19 +227,22 @@ def _verified(candidates: DataFrame) -> DataFrame:
 
 
 def _roots(keys: DataFrame) -> DataFrame:
-    """(brand, line, root): each trade name's heaviest relative within one edit, followed to the
-    end. Heavier means more rows, then the smaller text, so that there are no rings."""
+    """(brand, line, root): each trade name's heaviest relative within one edit, followed until it ends;
+    every round doubles the steps. Heavier means more rows, then the smaller text, so that there are
+    no rings."""
     small = (F.size("places") == 0) | (F.size("p_places") == 0) | F.arrays_overlap("places", "p_places")
     heavier: Column = (F.col("weight") > F.col("p_weight")) | ((F.col("weight") == F.col("p_weight")) & (F.col("brand") < F.col("p_brand")))
     long = keys.where(F.length("brand") >= 3)
     near = _verified(_probes(long).join(_index(long), "entry").where(heavier & small).select("p_brand", "p_line", "brand", "weight").distinct())
     parents = near.groupBy(F.col("p_brand").alias("brand"), F.col("p_line").alias("line")).agg(F.max_by("brand", F.struct("weight", "brand")).alias("parent"))
     known = keys.join(parents, ["brand", "line"], "left").select("brand", "line", "weight", "places", F.coalesce("parent", "brand").alias("parent"))
-    known = cut_lineage(known)
-    up = known.select(F.col("brand").alias("parent"), "line", F.col("parent").alias("above"))
-    top = known.join(up, ["parent", "line"]).select("brand", "line", "weight", "places", F.col("above").alias("parent"))
-    top = top.join(up, ["parent", "line"]).select("brand", "line", "weight", "places", F.col("above").alias("root"))
-    return top
+    known, moved = cut_lineage(known), True
+    while moved:
+        up = known.select(F.col("brand").alias("parent"), "line", F.col("parent").alias("above"))
+        higher = cut_lineage(known.join(up, ["parent", "line"]).select("brand", "line", "weight", "places", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved")))
+        moved = not higher.where("moved").isEmpty()
+        known = higher.drop("moved")
+    return known.withColumnRenamed("parent", "root")
 
 
 def employers(names: DataFrame, places: list[str], name_col: str = "company_name") -> DataFrame:
@@ -255,7 +258,9 @@ def employers(names: DataFrame, places: list[str], name_col: str = "company_name
     read = cut_lineage(_read_all(counted, ordered))
 
     both = read.where(F.size("hanzi") > 0).select(F.explode(F.arrays_zip("hanzi", "syllables")).alias("_z")).select(F.col("_z.hanzi").alias("c"), F.col("_z.syllables").alias("s"))
-    heard = both.groupBy("c", "s").count().groupBy("c").agg(F.max_by("s", F.struct("count", "s")).alias("s")).limit(MOST_CHARS).collect()
+    heard = both.groupBy("c", "s").count().groupBy("c").agg(F.max_by("s", F.struct("count", "s")).alias("s")).limit(MOST_CHARS + 1).collect()
+    if len(heard) > MOST_CHARS:
+        raise ValueError(f"more than {MOST_CHARS} characters")
     sound = {r["c"]: r["s"] for r in heard}
 
     lined = read.where((F.col("brand") != "") & (F.col("line") != "")).groupBy("brand", "line").agg(

@@ -1,9 +1,10 @@
 """Texts put into containers of a fixed number of tokens, together with texts they resemble.
 
-Documents are cut into shards by a hash of their id. In each shard a BM25 inverted index returns
-unused neighbours for a seed, the longest text left; they fill the seed's container in the order
-of their scores until none fits any more, then the text that fits the rest best closes it. Only texts longer than a
-container are divided. Only a document's length and its heaviest terms are shuffled.
+Documents are cut into shards by content: texts that share terms share a shard as often as their sets of
+terms overlap. In each shard a BM25 inverted index over all terms of all texts and pieces returns unused
+neighbours for a seed, the longest text left; they fill the seed's container in the order of their
+scores until none fits any more, then the text that fits the rest best closes it. Only texts longer
+than a container are divided.
 """
 
 from __future__ import annotations
@@ -19,18 +20,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentweave.llm.charstream import folded, pieces, shingles
+from talentweave.llm.charstream import folded, mixed, pieces, shingles
 
 #: Vocabulary of the public tokenizer; a parameter of the operators.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: how byte-level BPE vocabularies of this kind cut a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Documents of a shard, on average.
+#: Documents of a shard.
 SHARD_DOCS = 3000
-#: Characters of a term, bins of its hash, terms that stand for a document in index and query.
-TERM, BINS, HEAVIEST = 3, 1 << 17, 24
-#: BM25 parameter.
-K1 = 1.2
+#: Container sizes at most; they travel with the tasks.
+MOST_SPECS = 10_000
+#: Characters of a term, bins of its hash, terms of a seed that are asked for (the index holds all).
+TERM, BINS, QUERY_TERMS = 3, 1 << 17, 32
+#: Bins of the sketch by which texts are brought together.
+SKETCHES = 1 << 16
+#: BM25 parameters.
+K1, B = 1.2, 0.75
 SCHEMA = "spec_id bigint, container string, doc_id bigint, piece int, first_token bigint, n_tokens bigint"
 
 
@@ -58,41 +63,91 @@ def term_bins(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield own[first], np.diff(np.concatenate([first, [len(own)]]))
 
 
-def _document_frequencies(docs: DataFrame) -> np.ndarray:
-    """Share of documents that hold a bin, from all documents, added up by task first; the last
-    number is that of the documents."""
+def sketch(bins: np.ndarray) -> int:
+    """Sketch of a set of terms: the smallest hash, hashed again. Two sets have the same with the
+    probability of their overlap. Without terms it is 0."""
+    return int(mixed(mixed(bins.astype(np.uint64) + np.uint64(1)).min(keepdims=True))[0] >> np.uint64(48)) if len(bins) else 0
+
+
+def _corpus(docs: DataFrame) -> np.ndarray:
+    """What the index needs of all documents, added up by task first: for each bin in how many texts it
+    stands, for each sketch how many texts have it, the number of texts, and of terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BINS + 1, np.int64)
+        total = np.zeros(BINS + SKETCHES + 2, np.int64)
         for batch in batches:
-            for bins, _ in term_bins(batch.column(0).to_pylist()):
+            for bins, times in term_bins(batch.column(0).to_pylist()):
                 total[bins] += 1
-            total[BINS] += batch.num_rows
+                total[BINS + sketch(bins)] += 1
+                total[-1] += int(times.sum())
+            total[-2] += batch.num_rows
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bin", "n"])
 
     rows = docs.select("text").mapInArrow(run, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(BINS + 1)
-    total[rows["bin"].to_numpy(int)] = rows["n"].to_numpy(float)
+    total = np.zeros(BINS + SKETCHES + 2, np.int64)
+    total[rows["bin"].to_numpy(int)] = rows["n"].to_numpy(np.int64)
     return total
 
 
-def _described(docs: DataFrame, idf: np.ndarray, vocabulary: str) -> DataFrame:
-    """(doc_id, n_tokens, terms) of every document: its length and heaviest terms."""
+def shards_of(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first shard, number of shards) of each sketch: neighbouring sketches are put together until
+    ``size`` texts are reached, a sketch of more texts is spread over shards of its own."""
+    first, parts = np.zeros(len(counts), np.int64), np.maximum(1, -(-counts // size))
+    shard, held = 0, 0
+    for k, n in enumerate(counts.tolist()):
+        if held and held + n > size:
+            shard, held = shard + 1, 0
+        first[k] = shard
+        if n > size:
+            shard += int(parts[k])
+        else:
+            held += n
+    return first, parts
+
+
+def _sharded(docs: DataFrame, shards: tuple[np.ndarray, np.ndarray], vocabulary: str) -> DataFrame:
+    """(doc_id, n_tokens, text, shard) of every document."""
+    first, parts = shards
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(vocabulary).encode_ordinary
         for batch in batches:
             texts = batch.column(1).to_pylist()
             sizes = [len(encode(t)) for t in texts]
-            terms = []
-            for bins, times in term_bins(texts):
-                weight = idf[bins] * times / (times + K1)
-                top = np.argpartition(-weight, HEAVIEST)[:HEAVIEST] if len(bins) > HEAVIEST else np.arange(len(bins))
-                terms.append(np.sort(bins[top]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(terms, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "terms"])
+            kinds = np.array([sketch(bins) for bins, _ in term_bins(texts)], np.int64)
+            own = mixed(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % parts[kinds].astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), batch.column(1), pa.array(first[kinds] + own.astype(np.int64))], ["doc_id", "n_tokens", "text", "shard"])
+
+    return docs.mapInArrow(run, "doc_id bigint, n_tokens bigint, text string, shard bigint")
+
+
+class Neighbours:
+    """BM25 inverted index over texts: for a seed the scores of all of them."""
+
+    def __init__(self, terms: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, mean: float) -> None:
+        self.terms, self.idf = terms, idf
+        owner = np.repeat(np.arange(len(terms), dtype=np.int32), [len(b) for b, _ in terms])
+        bins = np.concatenate([np.zeros(0, np.uint32), *(b for b, _ in terms)]).astype(np.int64)
+        times = np.concatenate([np.zeros(0, np.int64), *(t for _, t in terms)]).astype(np.float64)
+        norm = K1 * (1 - B + B * np.bincount(owner, times, len(terms)) / max(mean, 1.0)) if len(terms) else np.zeros(0)
+        order = np.argsort(bins, kind="stable")
+        self.bins, self.owner = bins[order], owner[order]
+        self.impact = (idf[bins] * times * (K1 + 1) / (times + norm[owner]))[order]
+
+    def query(self, seed: int) -> np.ndarray:
+        """The terms of a text that are asked for, the heaviest ones."""
+        bins, times = self.terms[seed]
+        if len(bins) <= QUERY_TERMS:
+            return bins
+        return bins[np.argpartition(-self.idf[bins] * times / (times + K1), QUERY_TERMS)[:QUERY_TERMS]]
 
-    return docs.mapInArrow(run, "doc_id bigint, n_tokens bigint, terms array<int>")
+    def scores(self, query: np.ndarray) -> np.ndarray:
+        left, right = np.searchsorted(self.bins, query, "left"), np.searchsorted(self.bins, query, "right")
+        n = right - left
+        total = int(n.sum())
+        at = np.repeat(left, n) + np.arange(total) - np.repeat(n.cumsum() - n, n)
+        return np.bincount(self.owner[at], self.impact[at], len(self.terms))
 
 
 def pieces_of(sizes: list[int], capacity: int) -> list[tuple[int, int, int, int]]:
@@ -104,8 +159,9 @@ def pieces_of(sizes: list[int], capacity: int) -> list[tuple[int, int, int, int]
     return out
 
 
-def pack(sizes: list[int], terms: list[np.ndarray], idf: np.ndarray, capacity: int) -> list[list[tuple[int, int, int, int]]]:
-    """Containers of pieces. Full pieces stand alone; the rest is filled from the longest down."""
+def pack(sizes: list[int], terms: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, capacity: int, mean: float = 1.0, tails: dict[int, tuple[np.ndarray, np.ndarray]] | None = None) -> list[list[tuple[int, int, int, int]]]:
+    """Containers of pieces. Full pieces stand alone; the rest is filled from the longest down. ``terms`` has
+    (bins, times) of each text, ``tails`` those of the last piece of divided ones."""
     pieces = pieces_of(sizes, capacity)
     full = [[p] for p in pieces if p[3] == capacity]
     rest = [p for p in pieces if p[3] < capacity]
@@ -115,24 +171,16 @@ def pack(sizes: list[int], terms: list[np.ndarray], idf: np.ndarray, capacity: i
     by_size = [(rest[k][3], k) for k in order]
     lengths = np.array([p[3] for p in rest])
     used = np.zeros(len(rest), bool)
-    owner = np.repeat(np.arange(len(rest)), [len(terms[p[0]]) for p in rest])
-    bins = np.concatenate([terms[p[0]] for p in rest]) if len(owner) else np.zeros(0, np.int32)
-    by_bin = np.argsort(bins, kind="stable")
-    sorted_bins, postings = bins[by_bin], owner[by_bin]
+    index = Neighbours([(tails or {}).get(p[0], terms[p[0]]) if p[1] else terms[p[0]] for p in rest], idf, mean)
     containers = full
     while by_size:
         size, seed = by_size.pop()
         used[seed] = True
         mine, room = [rest[seed]], capacity - size
         if by_size and room >= by_size[0][0]:
-            query = terms[rest[seed][0]]
-            left, right = np.searchsorted(sorted_bins, query, "left"), np.searchsorted(sorted_bins, query, "right")
-            n = right - left
-            total = int(n.sum())
-            if total:
-                at = np.repeat(left, n) + np.arange(total) - np.repeat(n.cumsum() - n, n)
-                found = postings[at]
-                score = np.bincount(found, np.repeat(idf[query], n), len(rest))
+            query = index.query(seed)
+            if len(query):
+                score = index.scores(query)
                 score[used] = 0
                 near = np.flatnonzero((score > 0) & (lengths <= room))
                 for k in near[np.lexsort((near, -score[near]))].tolist():
@@ -160,37 +208,44 @@ def containers(docs: DataFrame, specs: DataFrame, vocabulary: str = VOCABULARY,
     stand in a container too. Ids are taken as unique; specs with null or no capacity are left
     out; empty tables give an empty result.
     """
-    sizes = sorted({(r["spec_id"], r["capacity_tokens"]) for r in specs.where(F.col("capacity_tokens") > 0).select("spec_id", "capacity_tokens").limit(10_000).collect()})
+    wanted = specs.where((F.col("capacity_tokens") > 0) & F.col("spec_id").isNotNull()).select("spec_id", "capacity_tokens").distinct().limit(MOST_SPECS + 1).collect()
+    if len(wanted) > MOST_SPECS:
+        raise ValueError(f"more than {MOST_SPECS} container sizes")
+    sizes = sorted((r["spec_id"], r["capacity_tokens"]) for r in wanted)
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = _document_frequencies(own)
-    total = int(counts[BINS])
-    idf = np.log(1 + (total - counts[:BINS] + 0.5) / (counts[:BINS] + 0.5))
-    shards = max(1, -(-total // shard_docs))
+    counts = _corpus(own)
+    total = int(counts[-2])
+    idf = np.log(1 + (total - counts[:BINS] + 0.5) / (counts[:BINS] + 0.5)).astype(np.float32)
+    mean = float(counts[-1]) / max(total, 1)
+    shards = shards_of(counts[BINS:-2], shard_docs)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id")
         ids = table.column("doc_id").to_pylist()
         lengths = table.column("n_tokens").to_pylist()
         shard = table.column("shard")[0].as_py()
-        terms = [np.array(t, np.int32) for t in table.column("terms").to_pylist()]
-        rows = [
-            (spec, f"{shard}-{c}", ids[k], piece, at, n)
-            for spec, capacity in sizes
-            for c, inner in enumerate(pack(lengths, terms, idf, capacity))
-            for k, piece, at, n in inner
-        ]
+        texts = table.column("text").to_pylist()
+        terms = list(term_bins(texts))
+        rows = []
+        for spec, capacity in sizes:
+            tails = {}
+            for k, n in enumerate(lengths):
+                if n > capacity and n % capacity:
+                    coder = tokenizer(vocabulary)
+                    tails[k] = next(term_bins([coder.decode(coder.encode_ordinary(texts[k])[n - n % capacity :])]))
+            packed = pack(lengths, terms, idf, capacity, mean, tails)
+            rows += [(spec, f"{shard}-{c}", ids[k], piece, at, n) for c, inner in enumerate(packed) for k, piece, at, n in inner]
         columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(6)]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["spec_id", "container", "doc_id", "piece", "first_token", "n_tokens"])
 
-    described = _described(own, idf, vocabulary).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    return described.groupBy("shard").applyInArrow(run, SCHEMA)
+    return _sharded(own, shards, vocabulary).groupBy("shard").applyInArrow(run, SCHEMA)
 
 
 def unused_space(packed: DataFrame, specs: DataFrame) -> DataFrame:
     """(spec_id, capacity_tokens, containers, texts, tokens, fill) of a packing."""
     by = packed.groupBy("spec_id", "container").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("texts"))
     total = by.groupBy("spec_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("texts").alias("texts"), F.sum("tokens").alias("tokens"))
-    sized = total.join(F.broadcast(specs.select("spec_id", "capacity_tokens").limit(10_000)), "spec_id")
+    sized = total.join(specs.select("spec_id", "capacity_tokens").distinct(), "spec_id")
     fill = F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6)
     return sized.select("spec_id", "capacity_tokens", "containers", "texts", "tokens", fill.alias("fill"))

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -16,7 +18,7 @@ from talentweave.llm.entity_match import best_assignment, matches, mutual_best,
 from talentweave.llm.leakage import Index, body_of, leaks, search
 from talentweave.llm.name_variants import employers, index_keys, one_edit, probe_keys, read_name, variant_pairs
 from talentweave.llm.near_duplicates import bands_for, classes_with_links, run_pairs, similar_pairs
-from talentweave.llm.packing import VOCABULARY, containers, pack, tokenizer, unused_space
+from talentweave.llm.packing import BINS, VOCABULARY, Neighbours, containers, pack, shards_of, sketch, tokenizer, unused_space
 from talentweave.llm.quality import NAMES, text_classes, text_statistics
 from talentweave.llm.quality_examples import EXAMPLES
 
@@ -104,6 +106,13 @@ def test_variants(spark):
     assert employers(df.limit(0), []).count() == 0
 
 
+def test_chains_of_spellings_end_in_one_employer(spark):
+    trade = ["甲乙丙丁戊己", "甲乙丙丁戊庚", "甲乙丙丁辛庚", "甲乙丙壬辛庚", "甲乙癸壬辛庚", "甲子癸壬辛庚", "丑子癸壬辛庚"]
+    rows = [(f"{t}软件",) for k, t in enumerate(trade) for _ in range(20 - 2 * k)]
+    found = employers(spark.createDataFrame(rows, "company_name string"), []).collect()
+    assert len(found) == 7 and {r["employer"] for r in found} == {"甲乙丙丁戊己|软件"}
+
+
 # --- 4: near duplicates -----------------------------------------------------------------------
 
 
@@ -273,7 +282,7 @@ def test_codes():
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 40), max_size=30), st.integers(1, 17))
 def test_packing_keeps_everything(sizes, capacity):
-    terms = [np.array(sorted({k % 5, k % 3}), np.int32) for k in range(len(sizes))]
+    terms = [(np.array(sorted({k % 5, k % 3}), np.int32), np.ones(len({k % 5, k % 3}), np.int64)) for k in range(len(sizes))]
     packed = pack(sizes, terms, np.ones(10), capacity)
     inner = [p for c in packed for p in c]
     assert all(sum(p[3] for p in c) <= capacity for c in packed)
@@ -285,11 +294,38 @@ def test_packing_keeps_everything(sizes, capacity):
 
 def test_packing_goes_down_the_ranking():
     sizes = [400] + [2] * 100 + [50] * 3
-    terms = [np.array([0], np.int32)] * 101 + [np.array([1], np.int32)] * 3
+    terms = [(np.array([0], np.int32), np.array([1]))] * 101 + [(np.array([1], np.int32), np.array([1]))] * 3
     first = next(c for c in pack(sizes, terms, np.ones(10), 600) if c[0][0] == 0)
     assert sorted(p[0] for p in first) == list(range(101))
 
 
+def test_scores_are_bm25():
+    r = random.Random(3)
+    docs = [[r.randrange(12) for _ in range(r.randint(1, 30))] for _ in range(25)]
+    terms = [tuple(map(np.array, zip(*sorted(Counter(d).items()), strict=True))) for d in docs]
+    idf, mean = np.array([math.log(1 + (25 - n + 0.5) / (n + 0.5)) for n in (sum(b in d for d in docs) for b in range(12))]), sum(map(len, docs)) / 25
+    index = Neighbours(terms, idf, mean)
+    found = index.scores(index.query(4))
+    for k, d in enumerate(docs):
+        assert found[k] == pytest.approx(sum(idf[b] * d.count(b) * 2.2 / (d.count(b) + 1.2 * (0.25 + 0.75 * len(d) / mean)) for b in set(docs[4])))
+
+
+def test_shards_are_bounded_and_by_content():
+    counts = np.array([5, 0, 3, 50, 4, 4, 1])
+    first, parts = shards_of(counts, 10)
+    load = Counter()
+    for k, n in enumerate(counts.tolist()):
+        for j in range(int(parts[k])):
+            load[int(first[k]) + j] += -(-n // int(parts[k]))
+    assert parts.tolist() == [1, 1, 1, 5, 1, 1, 1] and max(load.values()) <= 18 and sum(load.values()) == 67
+    rng = np.random.default_rng(1)
+    same = 0
+    for _ in range(400):
+        both, a, b = rng.integers(0, BINS, 60), rng.integers(0, BINS, 20), rng.integers(0, BINS, 20)
+        same += sketch(np.unique(np.concatenate([both, a]))) == sketch(np.unique(np.concatenate([both, b])))
+    assert abs(same / 400 - 0.6) < 0.1 and sketch(np.zeros(0, np.uint32)) == 0
+
+
 def test_containers(spark):
     r = random.Random(1)
     texts = ["".join(r.choice("甲乙丙丁戊己庚辛abc ") for _ in range(r.randint(1, 400))) for _ in range(60)] + [None, "", "长文" * 3000, "同", "同"]
