@@ -27,11 +27,12 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: how byte-level BPE vocabularies of this kind cut a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Documents of a shard.
-SHARD_DOCS = 3000
+SHARD_DOCS = 2000
 #: Container sizes at most; they travel with the tasks.
 MOST_SPECS = 10_000
-#: Characters of a term, bins of its hash, terms of a seed that are asked for (the index holds all).
-TERM, BINS, QUERY_TERMS = 3, 1 << 17, 32
+#: Characters of a term, bins of its hash, terms of a seed that are asked for (the index holds all): those
+#: that can add most to all scores together.
+TERM, BINS, QUERY_TERMS = 3, 1 << 17, 64
 #: Bins of the sketch by which texts are brought together.
 SKETCHES = 1 << 16
 #: BM25 parameters.
@@ -134,13 +135,17 @@ class Neighbours:
         order = np.argsort(bins, kind="stable")
         self.bins, self.owner = bins[order], owner[order]
         self.impact = (idf[bins] * times * (K1 + 1) / (times + norm[owner]))[order]
+        self.texts = np.bincount(bins, minlength=len(idf))
 
     def query(self, seed: int) -> np.ndarray:
-        """The terms of a text that are asked for, the heaviest ones."""
+        """The terms of a text that are asked for: of those that another text has, the ones with the
+        greatest product of weight and texts."""
         bins, times = self.terms[seed]
+        shared = self.texts[bins] > 1
+        bins, times = bins[shared], times[shared]
         if len(bins) <= QUERY_TERMS:
             return bins
-        return bins[np.argpartition(-self.idf[bins] * times / (times + K1), QUERY_TERMS)[:QUERY_TERMS]]
+        return bins[np.argpartition(-self.idf[bins] * times / (times + K1) * self.texts[bins], QUERY_TERMS)[:QUERY_TERMS]]
 
     def scores(self, query: np.ndarray) -> np.ndarray:
         left, right = np.searchsorted(self.bins, query, "left"), np.searchsorted(self.bins, query, "right")
