@@ -28,6 +28,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Documents of a shard.
 SHARD_DOCS = 2000
+#: Tasks that the shards are spread over, at most.
+MOST_TASKS = 20_000
 #: Container sizes at most; they travel with the tasks.
 MOST_SPECS = 10_000
 #: Characters of a term, bins of its hash, terms of a seed that are asked for (the index holds all): those
@@ -148,11 +150,10 @@ class Neighbours:
         return bins[np.argpartition(-self.idf[bins] * times / (times + K1) * self.texts[bins], QUERY_TERMS)[:QUERY_TERMS]]
 
     def scores(self, query: np.ndarray) -> np.ndarray:
-        left, right = np.searchsorted(self.bins, query, "left"), np.searchsorted(self.bins, query, "right")
-        n = right - left
-        total = int(n.sum())
-        at = np.repeat(left, n) + np.arange(total) - np.repeat(n.cumsum() - n, n)
-        return np.bincount(self.owner[at], self.impact[at], len(self.terms))
+        left, right = (np.searchsorted(self.bins, query, side).tolist() for side in ("left", "right"))
+        runs = list(zip(left, right, strict=True))
+        owner, impact = (np.concatenate([x[a:b] for a, b in runs]) for x in (self.owner, self.impact))
+        return np.bincount(owner, impact, len(self.terms))
 
 
 def pieces_of(sizes: list[int], capacity: int) -> list[tuple[int, int, int, int]]:
@@ -188,14 +189,17 @@ def pack(sizes: list[int], terms: list[tuple[np.ndarray, np.ndarray]], idf: np.n
                 score = index.scores(query)
                 score[used] = 0
                 near = np.flatnonzero((score > 0) & (lengths <= room))
-                for k in near[np.lexsort((near, -score[near]))].tolist():
-                    if not by_size or room < by_size[0][0]:
+                near = near[np.argsort(-score[near], kind="stable")]
+                while len(near) and by_size and room >= by_size[0][0]:
+                    fits = np.flatnonzero(lengths[near] <= room)
+                    if not len(fits):
                         break
-                    if rest[k][3] <= room:
-                        used[k] = True
-                        mine.append(rest[k])
-                        room -= rest[k][3]
-                        del by_size[bisect_left(by_size, (rest[k][3], k))]
+                    k = int(near[fits[0]])
+                    near = near[fits[1:]]
+                    used[k] = True
+                    mine.append(rest[k])
+                    room -= rest[k][3]
+                    del by_size[bisect_left(by_size, (rest[k][3], k))]
         while by_size and by_size[0][0] <= room:
             at = bisect_right(by_size, (room, len(rest))) - 1
             size, k = by_size.pop(at)
@@ -231,20 +235,20 @@ def containers(docs: DataFrame, specs: DataFrame, vocabulary: str = VOCABULARY,
         shard = table.column("shard")[0].as_py()
         texts = table.column("text").to_pylist()
         terms = list(term_bins(texts))
-        rows = []
+        rows, coder = [], tokenizer(vocabulary)
+        least = min((capacity for _, capacity in sizes), default=0)
+        tokens = {k: coder.encode_ordinary(texts[k]) for k, n in enumerate(lengths) if n > least}
         for spec, capacity in sizes:
-            tails = {}
-            for k, n in enumerate(lengths):
-                if n > capacity and n % capacity:
-                    coder = tokenizer(vocabulary)
-                    tails[k] = next(term_bins([coder.decode(coder.encode_ordinary(texts[k])[n - n % capacity :])]))
+            cut = [k for k, n in enumerate(lengths) if n > capacity and n % capacity]
+            tails = dict(zip(cut, term_bins([coder.decode(tokens[k][lengths[k] - lengths[k] % capacity :]) for k in cut]), strict=True))
             packed = pack(lengths, terms, idf, capacity, mean, tails)
             rows += [(spec, f"{shard}-{c}", ids[k], piece, at, n) for c, inner in enumerate(packed) for k, piece, at, n in inner]
         columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(6)]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["spec_id", "container", "doc_id", "piece", "first_token", "n_tokens"])
 
-    return _sharded(own, shards, vocabulary).groupBy("shard").applyInArrow(run, SCHEMA)
+    last = int((shards[0] + shards[1]).max())
+    return _sharded(own, shards, vocabulary).repartition(max(1, min(last, MOST_TASKS)), "shard").groupBy("shard").applyInArrow(run, SCHEMA)
 
 
 def unused_space(packed: DataFrame, specs: DataFrame) -> DataFrame:
