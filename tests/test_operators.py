@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from talentweave.operators import around as A
 from talentweave.operators import entities as E
 from talentweave.operators import graph as G
+from talentweave.operators import overlap as O
 from talentweave.operators import ranking as R
 from talentweave.operators import relations as L
 from talentweave.operators.extract import extraction, rule_entities
@@ -128,6 +129,30 @@ def test_paths_equal_their_definition(spark):
         assert [(s, h, n) for s, h, _, n in found] == [(pytest.approx(s, abs=1e-4), h, n) for s, h, _, n in wanted]
 
 
+@pytest.mark.parametrize("hops", [2, 3])
+def test_paths_over_blocks_of_postings_in_between(spark, monkeypatch, hops):
+    jobs = G.postings(_jobs(spark, 60, 8))
+    rows = [r.asDict() for r in jobs.collect()]
+    monkeypatch.setattr(R, "FIRST_MIDS", 160 if hops == 3 else 2)
+    monkeypatch.setattr(R, "COLUMNS", 3)
+    wanted = [p for p in _all_paths(rows, "j7", 120, 160) if p[1] <= hops][:40]
+    found = [(r["score"], r["hops"], r["nodes"]) for r in R.paths(jobs, "j7", hops, 40).collect()]
+    assert found == [(pytest.approx(s, abs=1e-4), h, n) for s, h, _, n in wanted]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_onward_paths_need_no_shuffle(spark):
+    jobs = G.postings(_jobs(spark)).localCheckpoint()
+    row = next(r for r in jobs.collect() if r["job_id"] == "j5")
+    mids = [{"id": "j5", "content": O.content(row), "bound": 9.0, "first": 1.0, "relations": ["r"], "names": ["n"]}]
+    found = O.best_onward(jobs, mids, R.UNITS, R.LEAST_UNITS, 1.0, 1000, 0.0)
+    assert "Exchange" not in _plan(found)
+    assert {r["job_id"] for r in found.collect()} == {r["job_id"] for r in R.similarity(jobs.where("job_id = 'j5'"), jobs).collect()}
+
+
 def test_graph_tables_come_back(spark, tmp_path):
     jobs = G.postings(_jobs(spark).withColumns({c: F.lit("q") for c in ("source", "detail_link", "company_type", "company_size")}))
     folder = str(tmp_path / "graph")
