@@ -153,6 +153,16 @@ def test_onward_paths_need_no_shuffle(spark):
     assert {r["job_id"] for r in found.collect()} == {r["job_id"] for r in R.similarity(jobs.where("job_id = 'j5'"), jobs).collect()}
 
 
+def test_recommendation_joins_paths_without_a_shuffle(spark):
+    jobs = G.postings(_jobs(spark)).localCheckpoint()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in _plan(R.recommend(jobs, R.Profile(skills=["a"], seed="j5")))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_graph_tables_come_back(spark, tmp_path):
     jobs = G.postings(_jobs(spark).withColumns({c: F.lit("q") for c in ("source", "detail_link", "company_type", "company_size")}))
     folder = str(tmp_path / "graph")
