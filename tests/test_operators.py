@@ -84,6 +84,18 @@ def test_similarity_equals_comparing_all_pairs(spark):
     assert max(r["rank"] for r in top) == 3
 
 
+def test_similar_postings_in_blocks(spark, monkeypatch):
+    jobs = G.postings(_jobs(spark, 60, 5)).localCheckpoint()
+    monkeypatch.setattr(R, "COLUMNS", 7)
+    monkeypatch.setattr(O, "HELD", 20)
+    pay = {r["job_id"]: r["salary_mid"] for r in jobs.collect()}
+    wanted = {}
+    for r in R.similarity(jobs, jobs).collect():
+        wanted.setdefault(r["seed_id"], []).append((-r["score"], -pay[r["job_id"]], r["job_id"]))
+    found = R.similar_jobs(jobs, jobs, 3).collect()
+    assert {(r["seed_id"], r["rank"]): (r["job_id"], r["score"]) for r in found} == {(s, k + 1): (j, -x) for s, all_ in wanted.items() for k, (x, _, j) in enumerate(sorted(all_)[:3])}
+
+
 def test_recommend_and_paths(spark):
     jobs = G.postings(_jobs(spark))
     found = R.recommend(jobs, R.Profile(skills=["a"], city="上海", least_salary=12)).collect()
