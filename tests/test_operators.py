@@ -96,6 +96,14 @@ def test_similar_postings_in_blocks(spark, monkeypatch):
     assert {(r["seed_id"], r["rank"]): (r["job_id"], r["score"]) for r in found} == {(s, k + 1): (j, -x) for s, all_ in wanted.items() for k, (x, _, j) in enumerate(sorted(all_)[:3])}
 
 
+def test_similar_pairs_are_counted_in_blocks(spark, monkeypatch):
+    jobs = G.postings(_jobs(spark, 60, 5))
+    jobs = jobs.unionByName(jobs.where("job_no > 30").withColumn("job_id", F.concat(F.lit("again-"), "job_id"))).localCheckpoint()
+    monkeypatch.setattr(R, "COUNTED", 9)
+    assert R.similar_pairs(jobs).first()[0] * 2 == R.similarity(jobs, jobs).count() > 0
+    assert G.stats(jobs, R.similar_pairs(jobs)).first()["total_similarity_edges"] > 0 == R.similar_pairs(jobs.limit(0)).first()[0]
+
+
 def test_recommend_and_paths(spark):
     jobs = G.postings(_jobs(spark))
     found = R.recommend(jobs, R.Profile(skills=["a"], city="上海", least_salary=12)).collect()
