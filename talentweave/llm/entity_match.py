@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from functools import reduce
+from heapq import heappop, heappush
 from itertools import product
 
 import numpy as np
@@ -336,10 +337,6 @@ def matches(left: DataFrame, left_id: str, right: DataFrame, right_id: str, refe
     return _neighbours(_in_blocks(rows, part), confident)
 
 
-#: Greatest product of both sides' records of a component that is assigned exactly in one task.
-EXACT = 1 << 18
-
-
 def best_assignment(w: np.ndarray) -> list[tuple[int, int]]:
     """(row, column) pairs of a one-to-one assignment of the greatest total weight; weights are at
     least 0 and pairs of weight 0 are left out. Shortest augmenting paths with potentials."""
@@ -375,6 +372,52 @@ def best_assignment(w: np.ndarray) -> list[tuple[int, int]]:
     return [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j] and w[match[j] - 1, j - 1] > 0]
 
 
+def best_sparse_assignment(rows: np.ndarray, columns: np.ndarray, weights: np.ndarray) -> list[int]:
+    """Places of the pairs (row, column, weight), each given once, that make up a one-to-one assignment of the greatest
+    total weight. Shortest augmenting paths with potentials over the pairs alone, in whole numbers: a double
+    between 0.5 and 1 is one exactly. What stays single goes to a column of its own, of weight 0."""
+    n, m = (int(x.max()) + 1 if len(x) else 0 for x in (rows, columns))
+    worth = [round(w * (1 << 53)) for w in weights.tolist()]
+    most = max(worth, default=0)
+    reach: list[list[tuple[int, int]]] = [[(m + r, most)] for r in range(n)]
+    place: dict[tuple[int, int], int] = {}
+    for k, (r, c) in enumerate(zip(rows.tolist(), columns.tolist(), strict=True)):
+        if worth[k] > 0:
+            reach[r].append((c, most - worth[k]))
+            place[r, c] = k
+    u, v, match = [0] * n, [0] * (m + n), [-1] * (m + n)
+    for start in range(n):
+        r, far = start, 0
+        seen, least, way, settled, heap = [(start, 0)], {}, {}, {}, []
+        while True:
+            base = far - u[r]
+            for c, cost in reach[r]:
+                d = base + cost - v[c]
+                if c not in settled and (c not in least or d < least[c]):
+                    least[c], way[c] = d, r
+                    heappush(heap, (d, match[c] >= 0, c))
+            far, _, c = heappop(heap)
+            while c in settled:
+                far, _, c = heappop(heap)
+            settled[c] = far
+            if match[c] < 0:
+                break
+            r = match[c]
+            seen.append((r, far))
+        for k, d in seen:
+            u[k] += far - d
+        for k, d in settled.items():
+            v[k] -= far - d
+        back = {match[k]: k for k in settled if match[k] >= 0}
+        while True:
+            r = way[c]
+            match[c] = r
+            if r == start:
+                break
+            c = back[r]
+    return [place[r, c] for c, r in enumerate(match[:m]) if r >= 0]
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """Adds ``component`` to (id_a, id_b, ...): the smallest id_a that a chain of pairs reaches. Labels
     fall to the smallest neighbour's and are followed one step further in each round, until
@@ -393,30 +436,23 @@ def components(pairs: DataFrame) -> DataFrame:
     return pairs.join(label.withColumnRenamed("label", "component"), "id_a")
 
 
-def one_to_one(pairs: DataFrame, exact: int = EXACT) -> DataFrame:
+def one_to_one(pairs: DataFrame, exact: int | None = None) -> DataFrame:
     """(id_a, id_b, confidence) with each record in one pair at most, of the greatest total confidence.
 
-    Connected components whose two sides have a product of at most ``exact`` are assigned exactly,
-    each in one task. Larger ones are assigned by mutual_best, whose total is at least half the
-    greatest. Repeated pairs count once, with their highest confidence.
+    Connected components are assigned exactly, each in one task, whatever its size and the table's: the
+    same component always has the same assignment. ``exact``, once the size from which another method
+    was taken, is no longer looked at. Repeated pairs count once, with their highest confidence.
     """
     once = pairs.groupBy("id_a", "id_b").agg(F.max("confidence").alias("confidence"))
-    known = cut_lineage(components(once))
-    a, b = (known.select("component", c).distinct().groupBy("component").agg(F.count(F.lit(1)).alias(f"n_{c}")) for c in ("id_a", "id_b"))
-    sized = cut_lineage(known.join(a.join(b, "component").select("component", (F.col("n_id_a") * F.col("n_id_b") <= exact).alias("small")), "component"))
+    known = components(once)
 
     def assign(table: pa.Table) -> pa.Table:
-        ids_a, ids_b = (table.column(c).to_numpy() for c in ("id_a", "id_b"))
-        rows, x = np.unique(ids_a, return_inverse=True)
-        columns, y = np.unique(ids_b, return_inverse=True)
-        w = np.zeros((len(rows), len(columns)))
-        w[x, y] = table.column("confidence").to_numpy()
-        chosen = best_assignment(w)
-        r, c = np.array([k for k, _ in chosen], np.int64), np.array([k for _, k in chosen], np.int64)
-        return pa.table([pa.array(rows[r]), pa.array(columns[c]), pa.array(w[r, c])], ["id_a", "id_b", "confidence"])
-
-    done = sized.where("small").groupBy("component").applyInArrow(assign, "id_a bigint, id_b bigint, confidence double")
-    return done.unionByName(mutual_best(sized.where(~F.col("small")).select("id_a", "id_b", "confidence")))
+        table = table.select(["id_a", "id_b", "confidence"]).sort_by([("id_a", "ascending"), ("id_b", "ascending")])
+        ids_a, ids_b, w = (table.column(c).to_numpy() for c in ("id_a", "id_b", "confidence"))
+        chosen = best_sparse_assignment(np.unique(ids_a, return_inverse=True)[1], np.unique(ids_b, return_inverse=True)[1], w)
+        return table.take(pa.array(chosen, pa.int64()))
+
+    return known.groupBy("component").applyInArrow(assign, "id_a bigint, id_b bigint, confidence double")
 
 
 def mutual_best(pairs: DataFrame) -> DataFrame:

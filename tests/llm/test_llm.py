@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from talentweave.llm.canonical import Mapper, Trie, map_values, posted_values
 from talentweave.llm.charstream import folded, pieces, shingles
 from talentweave.llm.cooccurrence import pair_statistics, row_codes, run_lengths
-from talentweave.llm.entity_match import best_assignment, matches, mutual_best, name_likeness, near_roles, one_to_one, read_title
+from talentweave.llm.entity_match import best_assignment, best_sparse_assignment, matches, mutual_best, name_likeness, near_roles, one_to_one, read_title
 from talentweave.llm.leakage import Index, body_of, leaks, search
 from talentweave.llm.name_variants import employers, index_keys, one_edit, probe_keys, read_name, variant_pairs
 from talentweave.llm.near_duplicates import bands_for, classes_with_links, run_pairs, similar_pairs
@@ -207,6 +207,25 @@ def test_assignment_is_exact(edges):
     assert sum(w[p] for p in chosen) == pytest.approx(_greatest(edges))
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.tuples(st.integers(0, 5), st.integers(0, 5)), st.integers(1, 9), min_size=1, max_size=14))
+def test_sparse_assignment_is_exact(edges):
+    a, b, w = (np.array(x) for x in ([a for a, _ in edges], [b for _, b in edges], [x / 10 for x in edges.values()]))
+    chosen = best_sparse_assignment(a, b, w)
+    assert len(set(a[chosen])) == len(set(b[chosen])) == len(chosen)
+    assert w[chosen].sum() == pytest.approx(_greatest(dict(zip(edges, w.tolist(), strict=True))))
+
+
+def test_large_component_is_assigned_like_a_small_one(spark):
+    # 600 x 600: a chain that links three records each, in which the best pair of both sides is the wrong one
+    rows = [(2 * k, 10_000 + 2 * k, 0.9) for k in range(300)] + [(2 * k, 10_001 + 2 * k, 0.89) for k in range(300)] + [(2 * k + 1, 10_000 + 2 * k, 0.89) for k in range(300)]
+    rows += [(2 * k + 2, 10_000 + 2 * k, 0.87) for k in range(299)]
+    pairs = spark.createDataFrame(rows, "id_a long, id_b long, confidence double")
+    found = one_to_one(pairs).collect()
+    assert sum(r["confidence"] for r in found) == pytest.approx(600 * 0.89) and len(found) == 600
+    assert {tuple(r) for r in found} == {tuple(r) for r in one_to_one(pairs, exact=4).collect()}
+
+
 def test_assignment_of_chains_and_random_graphs(spark):
     r = random.Random(12)
     rows = [(k, 1000 + k, round(0.9 - 0.001 * k, 4)) for k in range(30)] + [(k + 1, 1000 + k, round(0.8995 - 0.001 * k, 4)) for k in range(29)]
