@@ -13,6 +13,7 @@ import base64
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 from typing import Any
 
 import numpy as np
@@ -109,20 +110,30 @@ def shards_of(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return first, parts
 
 
-def _sharded(docs: DataFrame, shards: tuple[np.ndarray, np.ndarray], vocabulary: str) -> DataFrame:
-    """(doc_id, n_tokens, text, shard) of every document."""
+def tail_bytes(coder: Any, tokens: list[int], capacities: list[int]) -> list[int]:
+    """Bytes of the last piece of a text for each of the capacities that divide it with a rest."""
+    n = len(tokens)
+    return [len(coder.decode_bytes(tokens[n - n % c :])) for c in capacities if n > c and n % c]
+
+
+def _sharded(docs: DataFrame, shards: tuple[np.ndarray, np.ndarray], vocabulary: str, capacities: list[int]) -> DataFrame:
+    """(doc_id, n_tokens, text, tails, shard) of every document, ``tails`` as tail_bytes gives them: texts are encoded once."""
     first, parts = shards
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(vocabulary).encode_ordinary
+        coder = tokenizer(vocabulary)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            sizes = [len(encode(t)) for t in texts]
+            sizes, tails = [], []
+            for text in texts:
+                tokens = coder.encode_ordinary(text)
+                sizes.append(len(tokens))
+                tails.append(tail_bytes(coder, tokens, capacities))
             kinds = np.array([sketch(bins) for bins, _ in term_bins(texts)], np.int64)
             own = mixed(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % parts[kinds].astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), batch.column(1), pa.array(first[kinds] + own.astype(np.int64))], ["doc_id", "n_tokens", "text", "shard"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), batch.column(1), pa.array(tails, pa.list_(pa.int64())), pa.array(first[kinds] + own.astype(np.int64))], ["doc_id", "n_tokens", "text", "tails", "shard"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_tokens bigint, text string, shard bigint")
+    return docs.mapInArrow(run, "doc_id bigint, n_tokens bigint, text string, tails array<bigint>, shard bigint")
 
 
 class Neighbours:
@@ -134,10 +145,11 @@ class Neighbours:
         bins = np.concatenate([np.zeros(0, np.uint32), *(b for b, _ in terms)]).astype(np.int64)
         times = np.concatenate([np.zeros(0, np.int64), *(t for _, t in terms)]).astype(np.float64)
         norm = K1 * (1 - B + B * np.bincount(owner, times, len(terms)) / max(mean, 1.0)) if len(terms) else np.zeros(0)
-        order = np.argsort(bins, kind="stable")
-        self.bins, self.owner = bins[order], owner[order]
+        order = np.sort(bins << 32 | np.arange(len(bins))) & 0xFFFFFFFF  # whole numbers are sorted faster than their places
+        self.owner = owner[order]
         self.impact = (idf[bins] * times * (K1 + 1) / (times + norm[owner]))[order]
         self.texts = np.bincount(bins, minlength=len(idf))
+        self.starts = np.concatenate([[0], self.texts.cumsum()])
 
     def query(self, seed: int) -> np.ndarray:
         """The terms of a text that are asked for: of those that another text has, the ones with the
@@ -150,12 +162,25 @@ class Neighbours:
         return bins[np.argpartition(-self.idf[bins] * times / (times + K1) * self.texts[bins], QUERY_TERMS)[:QUERY_TERMS]]
 
     def scores(self, query: np.ndarray) -> np.ndarray:
-        left, right = (np.searchsorted(self.bins, query, side).tolist() for side in ("left", "right"))
-        runs = list(zip(left, right, strict=True))
+        runs = list(zip(self.starts[query].tolist(), self.starts[query + 1].tolist(), strict=True))
         owner, impact = (np.concatenate([x[a:b] for a, b in runs]) for x in (self.owner, self.impact))
         return np.bincount(owner, impact, len(self.terms))
 
 
+#: Neighbours that are put in order at a time.
+RANKED = 64
+
+
+def ranking(near: np.ndarray, score: np.ndarray) -> Iterator[np.ndarray]:
+    """``near`` by falling score, equal ones as they come, in parts: what nobody asks for isn't sorted."""
+    own = score[near]
+    while len(near) > 4 * RANKED:
+        first = own >= np.partition(own, len(own) - RANKED)[len(own) - RANKED]
+        yield near[first][np.argsort(-own[first], kind="stable")]
+        near, own = near[~first], own[~first]
+    yield near[np.argsort(-own, kind="stable")]
+
+
 def pieces_of(sizes: list[int], capacity: int) -> list[tuple[int, int, int, int]]:
     """(document, piece, first token, tokens); only documents longer than a container have more
     than one piece, of which all but the last are full."""
@@ -189,17 +214,19 @@ def pack(sizes: list[int], terms: list[tuple[np.ndarray, np.ndarray]], idf: np.n
                 score = index.scores(query)
                 score[used] = 0
                 near = np.flatnonzero((score > 0) & (lengths <= room))
-                near = near[np.argsort(-score[near], kind="stable")]
-                while len(near) and by_size and room >= by_size[0][0]:
-                    fits = np.flatnonzero(lengths[near] <= room)
-                    if not len(fits):
+                for part in ranking(near, score):
+                    while len(part) and by_size and room >= by_size[0][0]:
+                        fits = np.flatnonzero(lengths[part] <= room)
+                        if not len(fits):
+                            break
+                        k = int(part[fits[0]])
+                        part = part[fits[1:]]
+                        used[k] = True
+                        mine.append(rest[k])
+                        room -= rest[k][3]
+                        del by_size[bisect_left(by_size, (rest[k][3], k))]
+                    if not by_size or room < by_size[0][0]:
                         break
-                    k = int(near[fits[0]])
-                    near = near[fits[1:]]
-                    used[k] = True
-                    mine.append(rest[k])
-                    room -= rest[k][3]
-                    del by_size[bisect_left(by_size, (rest[k][3], k))]
         while by_size and by_size[0][0] <= room:
             at = bisect_right(by_size, (room, len(rest))) - 1
             size, k = by_size.pop(at)
@@ -221,6 +248,7 @@ def containers(docs: DataFrame, specs: DataFrame, vocabulary: str = VOCABULARY,
     if len(wanted) > MOST_SPECS:
         raise ValueError(f"more than {MOST_SPECS} container sizes")
     sizes = sorted((r["spec_id"], r["capacity_tokens"]) for r in wanted)
+    capacities = sorted({capacity for _, capacity in sizes})
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = _corpus(own)
     total = int(counts[-2])
@@ -235,12 +263,12 @@ def containers(docs: DataFrame, specs: DataFrame, vocabulary: str = VOCABULARY,
         shard = table.column("shard")[0].as_py()
         texts = table.column("text").to_pylist()
         terms = list(term_bins(texts))
-        rows, coder = [], tokenizer(vocabulary)
-        least = min((capacity for _, capacity in sizes), default=0)
-        tokens = {k: coder.encode_ordinary(texts[k]) for k, n in enumerate(lengths) if n > least}
+        rows = []
+        divided = [(k, c) for k, n in enumerate(lengths) for c in capacities if n > c and n % c]
+        ends = dict(zip(divided, chain.from_iterable(table.column("tails").to_pylist()), strict=True))
         for spec, capacity in sizes:
             cut = [k for k, n in enumerate(lengths) if n > capacity and n % capacity]
-            tails = dict(zip(cut, term_bins([coder.decode(tokens[k][lengths[k] - lengths[k] % capacity :]) for k in cut]), strict=True))
+            tails = dict(zip(cut, term_bins([texts[k].encode()[-ends[k, capacity] :].decode(errors="replace") for k in cut]), strict=True))
             packed = pack(lengths, terms, idf, capacity, mean, tails)
             rows += [(spec, f"{shard}-{c}", ids[k], piece, at, n) for c, inner in enumerate(packed) for k, piece, at, n in inner]
         columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(6)]
@@ -248,7 +276,7 @@ def containers(docs: DataFrame, specs: DataFrame, vocabulary: str = VOCABULARY,
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["spec_id", "container", "doc_id", "piece", "first_token", "n_tokens"])
 
     last = int((shards[0] + shards[1]).max())
-    return _sharded(own, shards, vocabulary).repartition(max(1, min(last, MOST_TASKS)), "shard").groupBy("shard").applyInArrow(run, SCHEMA)
+    return _sharded(own, shards, vocabulary, capacities).repartition(max(1, min(last, MOST_TASKS)), "shard").groupBy("shard").applyInArrow(run, SCHEMA)
 
 
 def unused_space(packed: DataFrame, specs: DataFrame) -> DataFrame:

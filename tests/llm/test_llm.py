@@ -18,7 +18,7 @@ from talentweave.llm.entity_match import best_assignment, best_sparse_assignment
 from talentweave.llm.leakage import Index, body_of, leaks, search
 from talentweave.llm.name_variants import employers, index_keys, one_edit, probe_keys, read_name, variant_pairs
 from talentweave.llm.near_duplicates import bands_for, classes_with_links, run_pairs, similar_pairs
-from talentweave.llm.packing import BINS, VOCABULARY, Neighbours, containers, pack, shards_of, sketch, tokenizer, unused_space
+from talentweave.llm.packing import BINS, VOCABULARY, Neighbours, containers, pack, ranking, shards_of, sketch, tail_bytes, tokenizer, unused_space
 from talentweave.llm.quality import NAMES, text_classes, text_statistics
 from talentweave.llm.quality_examples import EXAMPLES
 
@@ -345,6 +345,21 @@ def test_shards_are_bounded_and_by_content():
     assert abs(same / 400 - 0.6) < 0.1 and sketch(np.zeros(0, np.uint32)) == 0
 
 
+def test_ranking_in_parts():
+    r = np.random.default_rng(4)
+    score, near = r.integers(0, 40, 3000) / 8, np.flatnonzero(r.random(3000) < 0.7)
+    assert np.concatenate(list(ranking(near, score))).tolist() == near[np.argsort(-score[near], kind="stable")].tolist()
+
+
+def test_tails_are_cut_from_the_text():
+    coder = tokenizer(VOCABULARY)
+    for text in ("今天天气不错 🙂 and more words 1234567 " * 9, "é" * 50, "𠮷野家\n\n  x" * 20):
+        tokens = coder.encode_ordinary(text)
+        capacities = [c for c in range(1, len(tokens)) if len(tokens) % c]
+        sizes = tail_bytes(coder, tokens, [*capacities, len(tokens), len(tokens) + 1])
+        assert [text.encode()[-n:].decode(errors="replace") for n in sizes] == [coder.decode(tokens[len(tokens) - len(tokens) % c :]) for c in capacities]
+
+
 def test_containers(spark):
     r = random.Random(1)
     texts = ["".join(r.choice("甲乙丙丁戊己庚辛abc ") for _ in range(r.randint(1, 400))) for _ in range(60)] + [None, "", "长文" * 3000, "同", "同"]
