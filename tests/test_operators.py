@@ -104,6 +104,22 @@ def test_similar_pairs_are_counted_in_blocks(spark, monkeypatch):
     assert G.stats(jobs, R.similar_pairs(jobs)).first()["total_similarity_edges"] > 0 == R.similar_pairs(jobs.limit(0)).first()[0]
 
 
+def test_similar_pairs_meet_in_blocks_without_a_shuffle(spark, monkeypatch):
+    jobs = G.postings(_jobs(spark, 60, 5))
+    # more than 16 values, which no code of 16 bits holds
+    jobs = jobs.withColumn("skills", F.when(F.col("job_no") % 7 == 0, F.array(*map(F.lit, "abcdefghijklmnopqrstu"))).otherwise(F.col("skills"))).localCheckpoint()
+    monkeypatch.setattr(R, "LEAST_BLOCK", 9)
+    monkeypatch.setattr(O, "SENT", 5)
+    for columns in (7, 1000):
+        monkeypatch.setattr(R, "COLUMNS", columns)
+        wanted = R.similarity(jobs, jobs).where("seed_id < job_id").collect()
+        wanted = sorted((r["seed_id"], r["job_id"], r["score"], r["shared_skills"], r["shared_benefits"], r["city"] == 1, r["industry"] == 1, r["company"] == 1) for r in wanted)
+        found = A.similar_to(jobs)
+        assert sorted(map(tuple, found.collect())) == wanted and any(len(r[3]) > 16 for r in wanted)
+        assert "CartesianProduct" in _plan(found) and "Exchange" not in _plan(found)
+    assert A.similar_to(jobs.limit(0)).count() == A.similar_to(jobs.limit(1)).count() == 0
+
+
 def test_recommend_and_paths(spark):
     jobs = G.postings(_jobs(spark))
     found = R.recommend(jobs, R.Profile(skills=["a"], city="上海", least_salary=12)).collect()
