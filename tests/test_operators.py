@@ -176,6 +176,28 @@ def test_paths_over_blocks_of_postings_in_between(spark, monkeypatch, hops):
     assert found == [(pytest.approx(s, abs=1e-4), h, n) for s, h, _, n in wanted]
 
 
+@pytest.mark.parametrize(("hops", "columns"), [(1, 3), (2, 3), (3, 3), (3, 50), (3, 8192)])
+def test_best_of_all_paths_without_a_cap(spark, monkeypatch, hops, columns):
+    jobs = G.postings(_jobs(spark, 90, 8))
+    rows = [r.asDict() for r in jobs.collect()]
+    monkeypatch.setattr(R, "COLUMNS", columns)
+    wanted: dict[str, float] = {}
+    for score, n, job, _ in _all_paths(rows, "j7", 10**9, 10**9):
+        if n <= hops:
+            wanted[job] = max(score, wanted.get(job, 0.0))
+    found = {r["job_id"]: r["path_score"] for r in R.best_paths(jobs, "j7", hops).collect()}
+    assert found == {j: pytest.approx(s, abs=1e-4) for j, s in wanted.items()}
+    assert R.best_paths(jobs, "nobody").count() == R.best_paths(jobs.where("job_id = 'j7'"), "j7").count() == 0
+
+
+def test_postings_with_no_common_entity_have_no_path(spark):
+    row = {"job_no": 1, "title": "t", "company_name": "甲", "city_name": "上海", "industry_name": "x", "degree_name": "本科", "experience_name": "不限", "salary_min": 1, "salary_max": 2, "salary_mid": 1.5, "skills": ["a"], "benefits": [], "keywords": []}
+    other = {"company_name": "乙", "city_name": "北京", "industry_name": "y", "degree_name": "大专", "experience_name": "3+年", "skills": ["b"]}
+    jobs = G.postings(spark.createDataFrame([row | {"job_id": "a"}, row | {"job_id": "b", "skills": ["a", "b"]}, row | other | {"job_id": "c"}, row | other | {"job_id": "d", "skills": ["c"], "industry_name": "z"}], JOB))
+    found = {r["job_id"]: r["path_score"] for r in R.best_paths(jobs, "a").collect()}
+    assert set(found) == {"b", "c"} and found["b"] == pytest.approx(math.log(5), abs=1e-4) and found["c"] == pytest.approx((math.log(5) + math.log(2)) / 2**0.5, abs=1e-4)
+
+
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
